@@ -10,14 +10,34 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import mix
 from .packing import pack
+from .quality import classify
+from .simhash import near_duplicates
+from .tiff import text_media
 from .token_counts import count_tokens
 from .token_store import store_and_read
+from .url_filter import url_verdicts
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(table(spark, sf_dir, "pages"))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_media(table(spark, sf_dir, "documents"))
+
+
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
@@ -36,7 +56,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_filters": op1_url_filters,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op3_media_columns": op3_media_columns,
+        "op4_simhash_near_dedup": op4_simhash_near_dedup,
+        "op6_quality_classifier": op6_quality_classifier,
         "op7_token_counts": op7_token_counts,
         "op8_token_id_output": op8_token_id_output,
         "op9_source_mixing": op9_source_mixing,
