@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .lm_scoring import score_texts
 from .mixing import mix
 from .packing import pack
 from .quality import classify
@@ -34,6 +35,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -60,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_media_columns": op3_media_columns,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
+        "op5_lm_scoring": op5_lm_scoring,
         "op6_quality_classifier": op6_quality_classifier,
         "op7_token_counts": op7_token_counts,
         "op8_token_id_output": op8_token_id_output,

@@ -93,12 +93,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = MAX_
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = MAX_EPOCHS, seed: int = 7) -> DataFrame:
-    """The rows of `docs`, all columns, as often as the mix takes them."""
+    """The rows of `docs`, all columns, as often as the mix takes them; rows that it doesn't take go."""
     plan = mix(docs, weights, cap, seed).filter("taken > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), (F.col("taken") / F.col("size")).cast("int").alias("__n"))
-    # rows alike in id, source and size are interchangeable: their copies are numbered on both sides
-    alike = Window.partitionBy("__id", "__source", "__size").orderBy(F.col("__n").desc())
-    plan = plan.withColumn("__nth", F.row_number().over(alike))
     keyed = docs.withColumns({"__i": F.col("doc_id").cast("long"), "__s": F.col("source").cast("string"), "__z": words_of(F.col("text").cast("string"))})
-    keyed = keyed.withColumn("__k", F.row_number().over(Window.partitionBy("__i", "__s", "__z").orderBy(F.xxhash64("text"))))
-    met = (F.col("__i").eqNullSafe(F.col("__id"))) & (F.col("__s").eqNullSafe(F.col("__source"))) & (F.col("__z") == F.col("__size")) & (F.col("__k") == F.col("__nth"))
+    met = F.col("__i").eqNullSafe(F.col("__id")) & F.col("__s").eqNullSafe(F.col("__source")) & (F.col("__z") == F.col("__size"))
+    plan = written(plan, "mix-plan")
+    if not plan.groupBy("__id", "__source", "__size").agg(F.count("*").alias("c")).filter("c > 1").isEmpty() or not _alike(keyed).isEmpty():
+        # rows alike in id, source and size are interchangeable: they are numbered on both sides
+        plan = plan.withColumn("__nth", F.row_number().over(Window.partitionBy("__id", "__source", "__size").orderBy(F.col("__n").desc())))
+        keyed = keyed.withColumn("__k", F.row_number().over(Window.partitionBy("__i", "__s", "__z").orderBy(F.xxhash64("text"))))
+        met = met & (F.col("__k") == F.col("__nth"))
     return keyed.join(plan, met).withColumn("__c", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+
+
+def _alike(keyed: DataFrame) -> DataFrame:
+    return keyed.groupBy("__i", "__s", "__z").agg(F.count("*").alias("c")).filter("c > 1")

@@ -15,9 +15,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .common import batch_of, text_bytes
 
@@ -147,9 +149,6 @@ def classify(docs: DataFrame, labels: DataFrame, cut_score: float = 0.3, fit_row
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut_score: float = 0.3, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The rows of `docs`, all columns, that the classifier accepts; the text alone goes to Python."""
-    import pandas as pd
-    from pyspark.sql.types import DoubleType
-
     ranking = fit_on(docs, labels, fit_rows, cut_score)
 
     @F.pandas_udf(DoubleType())
