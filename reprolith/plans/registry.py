@@ -1,4 +1,4 @@
-"""Registered queries of the engine and their SQL."""
+"""Registered queries of the engine and their SQL, by operator id."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import metric_queries, report_queries, stat_queries
+
+_ALL = {**metric_queries.QUERIES, **report_queries.QUERIES, **stat_queries.QUERIES}
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: run for name, (run, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
