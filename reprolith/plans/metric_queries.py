@@ -70,7 +70,7 @@ QUERIES: dict[str, Query] = {
     "a2_distribution": (lambda s, d: M.output_distribution(read(s, d, "documents"), GROUP, F.col("text"), "doc_id").select(*GROUP, F.explode("distribution").alias("first", "n")), f"SELECT lang, source, first, n FROM ({_COUNTS})"),
     "a3_entropy": (lambda s, d: rounded(_repeat(s, d).select(*GROUP, "entropy")), f"SELECT lang, source, round({_ENTROPY}, 6) + 0.0 AS entropy FROM ({_COUNTS}) GROUP BY lang, source"),
     "o8_mode": (lambda s, d: _repeat(s, d).select(*GROUP, "modal_first"), f"SELECT lang, source, first AS modal_first FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY n DESC, first) AS k FROM ({_COUNTS})) WHERE k = 1"),
-    "w2_canon_selection": (lambda s, d: compared(s, d).groupBy(*GROUP).agg(F.max("anchor_id").alias("anchor_id")), f"WITH {COMPARED_SQL} SELECT lang, source, max(anchor_id) AS anchor_id FROM compared GROUP BY lang, source"),
+    "w2_canon_selection": (lambda s, d: compared(s, d).groupBy(*GROUP).agg(F.coalesce(F.max("anchor_id"), F.lit(-1)).alias("anchor_id")), f"WITH {COMPARED_SQL} SELECT lang, source, coalesce(max(anchor_id), -1) AS anchor_id FROM compared GROUP BY lang, source"),
     "w3_canon_strict": (lambda s, d: M.anchors(generations(s, d).select("doc_id", *GROUP, "passed", "adherent"), GROUP, F.col("passed") & F.col("adherent"), "doc_id").select(*GROUP, "anchor_doc_id"), f"WITH {COMPARED_SQL} SELECT lang, source, min(doc_id) AS anchor_doc_id FROM gens WHERE passed AND adherent GROUP BY lang, source"),
     "j1_compare_to_canon": (lambda s, d: rounded(compared(s, d).select("doc_id", "distance_pre", (F.col("distance_pre") == 0).alias("is_identical"))), f"WITH {COMPARED_SQL} SELECT doc_id, round(distance_pre, 6) + 0.0 AS distance_pre, distance_pre = 0 AS is_identical FROM compared"),
     "j2_raw_repaired": (lambda s, d: rounded(compared(s, d).select("doc_id", "distance_pre", "distance_post", (F.col("distance_post") < F.col("distance_pre")).alias("nearer"))), f"WITH {COMPARED_SQL} SELECT doc_id, round(distance_pre, 6) + 0.0 AS distance_pre, round(distance_post, 6) + 0.0 AS distance_post, distance_post < distance_pre AS nearer FROM compared"),

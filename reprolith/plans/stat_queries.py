@@ -26,11 +26,11 @@ _TABLE = f"""(SELECT l_suppkey % 20 AS g, sum((l_shipdate < DATE '{_SPLIT}' AND
 #: exp(log pmf) of k in the table's hypergeometric
 _PMF = "exp(lgamma(as_+af+1) + lgamma(bs+bf+1) + lgamma(as_+bs+1) + lgamma(af+bf+1) - lgamma(as_+af+bs+bf+1) - lgamma(k+1) - lgamma(as_+af-k+1) - lgamma(as_+bs-k+1) - lgamma(bf-as_+k+1))"
 _ALL_K = f"(SELECT *, {_PMF} AS p FROM (SELECT *, unnest(range(greatest(0, as_ - bf), least(as_ + af, as_ + bs) + 1)) AS k FROM {_TABLE}))"
-_FISHER = f"(SELECT a.g, least(1.0, sum(a.p)) AS p FROM {_ALL_K} a JOIN {_ALL_K} o ON a.g = o.g AND o.k = o.as_ WHERE a.p <= o.p * (1 + 1e-7) GROUP BY a.g)"
+_FISHER = f"(SELECT a.g, round(least(1.0, sum(a.p)), 9) AS p FROM {_ALL_K} a JOIN {_ALL_K} o ON a.g = o.g AND o.k = o.as_ WHERE a.p <= o.p * (1 + 1e-7) GROUP BY a.g)"
 
 
 def _fisher(s, d):
-    return _table(s, d).select("g", T.fisher(F.col("as_"), F.col("af"), F.col("bs"), F.col("bf")).alias("p"))
+    return _table(s, d).select("g", T.fisher(F.col("as_"), F.col("af"), F.col("bs"), F.col("bf")).alias("p")).withColumn("p", F.round("p", 9))
 
 
 def _effects(s, d):
@@ -126,7 +126,7 @@ QUERIES: dict[str, Query] = {
     "t18_significant": (_tests, None),
     "t19_shapiro": (lambda s, d: T.normality(read(s, d, "supplier").withColumn("g", F.col("s_nationkey") % 5), ["g"], "s_acctbal"), None),
     "t20_distribution": (lambda s, d: rounded(T.distribution(_events(s, d), ["event_type"], "value"), digits=4), "WITH m AS (SELECT event_type, avg(value) AS mu, stddev_pop(value) AS sd FROM events GROUP BY 1) SELECT event_type, count(value) AS n, round(avg(value), 4) + 0.0 AS mean, round(any_value(sd), 4) + 0.0 AS std, round(var_pop(value), 4) + 0.0 AS var, round(min(value), 4) + 0.0 AS min, round(max(value), 4) + 0.0 AS max, round(avg(((value - mu) / sd) ^ 3), 4) + 0.0 AS skewness, round(avg(((value - mu) / sd) ^ 4) - 3, 4) + 0.0 AS kurtosis, " + ", ".join(f"round(quantile_cont(value, {p}), 4) + 0.0 AS p{int(p * 100)}" for p in (0.25, 0.5, 0.75, 0.9, 0.95)) + " FROM events JOIN m USING (event_type) GROUP BY 1"),
-    "t21_normal_curve": (lambda s, d: rounded(T.normal_curve(_events(s, d), ["event_type"], "value", 20)), "WITH m AS (SELECT event_type, avg(value) AS m, stddev_pop(value) AS s, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1), x AS (SELECT *, unnest(range(0, 20)) AS i FROM m) SELECT event_type, i::INT AS i, round(lo + (hi - lo) * i / 19, 6) + 0.0 AS x, round(exp(-((lo + (hi - lo) * i / 19 - m) / s) ^ 2 / 2) / (s * 2.5066282746310002), 6) + 0.0 AS density FROM x"),
+    "t21_normal_curve": (lambda s, d: rounded(T.normal_curve(_events(s, d), ["event_type"], "value", 20)), "WITH m AS (SELECT event_type, avg(value) AS m, stddev_pop(value) AS s, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1), x AS (SELECT *, unnest(range(0, 20)) AS i FROM m) SELECT event_type, i::INT AS i, round(lo + (hi - lo) * i / 19, 6) + 0.0 AS x, round(exp(-0.5 * pow((lo + (hi - lo) * i / 19 - m) / s, 2)) / (s * 2.5066282746310002), 6) + 0.0 AS density FROM x"),
     "t22_density_histogram": (lambda s, d: rounded(M.histogram(_events(s, d), ["event_type"], "value", 20, density=True)), "WITH r AS (SELECT event_type, min(value) AS lo, max(value) AS hi, count(*) AS t FROM events GROUP BY 1), b AS (SELECT event_type, least(floor((value - lo) / (hi - lo) * 20), 19)::INT AS bin, lo, hi, t FROM events JOIN r USING (event_type)) SELECT event_type, bin, count(*) AS n, round(lo + (hi - lo) * bin / 20, 6) + 0.0 AS bin_start, round(count(*) * 20 / (t * (hi - lo)), 6) + 0.0 AS density FROM b GROUP BY event_type, bin, lo, hi, t"),
     "t25_trend": (_trend, "WITH m AS (SELECT year(o_orderdate) * 12 + month(o_orderdate) AS m, avg(o_totalprice) AS mean FROM orders GROUP BY 1) SELECT round(regr_slope(mean, m), 4) AS slope, round(corr(m, mean), 6) AS r FROM m"),
     "t27_box": (lambda s, d: rounded(T.box(_events(s, d), ["event_type"], "value")), "WITH q AS (SELECT event_type, min(value) AS lo, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS q2, quantile_cont(value, 0.75) AS q3, max(value) AS hi FROM events GROUP BY 1) SELECT event_type, " + ", ".join(f"round({e}, 6) + 0.0 AS {n}" for n, e in (("lo", "lo"), ("q1", "q1"), ("q2", "q2"), ("q3", "q3"), ("hi", "hi"), ("whisker_lo", "greatest(lo, q1 - 1.5 * (q3 - q1))"), ("whisker_hi", "least(hi, q3 + 1.5 * (q3 - q1))"))) + " FROM q"),
