@@ -98,7 +98,7 @@ def run_tests(sandbox: Sandbox, code: str | None, family_name: str, cases: list[
 RESULT = "passed boolean, pass_rate double, passed_tests int, total_tests int, error string, test_results array<struct<description:string, input:string, expected:string, actual:string, passed:boolean, error:string>>"
 
 
-def test_codes(df: DataFrame, code: str, family: str, cases: str | None = None, required: float = 0.8, seconds: float = 5.0) -> DataFrame:
+def tested_codes(df: DataFrame, code: str, family: str, cases: str | None = None, required: float = 0.8, seconds: float = 5.0) -> DataFrame:
     """(digest, family, result...) of each distinct (code, family, cases); join back by digest.
 
     `cases` is a column of JSON arrays of {input, expected, description}. Each task keeps one sandbox.

@@ -47,7 +47,7 @@ def wilson(successes: Column, trials: Column, confidence: float = 0.95) -> tuple
     p = successes / n
     middle = (p + z * z / (2 * n)) / (1 + z * z / n)
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
-    return F.coalesce(F.greatest(F.lit(0.0), middle - half), F.lit(0.0)), F.coalesce(F.least(F.lit(1.0), middle + half), F.lit(0.0))
+    return F.when(trials > 0, F.greatest(F.lit(0.0), middle - half)).otherwise(0.0), F.when(trials > 0, F.least(F.lit(1.0), middle + half)).otherwise(0.0)
 
 
 def _log_factorials(top: Column) -> Column:

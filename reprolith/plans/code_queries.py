@@ -10,7 +10,7 @@ from ..functions import compliance as C
 from ..functions import distance as D
 from ..functions import text as X
 from ..functions.code_properties import properties
-from ..functions.oracles import test_codes
+from ..functions.oracles import tested_codes
 from ..functions.rewrite import pipeline_column, repair_column
 from ..operators import rules as RU
 from ..streaming import windows as S
@@ -75,7 +75,7 @@ def _distances(s, d):
 def _oracle_tests(s, d):
     cases = '[{"input": 0, "expected": 1}, {"input": 1, "expected": 1}, {"input": 4, "expected": 5}]'
     c = _distinct(s, d).withColumns({"family": F.lit("factorial"), "cases": F.lit(cases), "named": F.regexp_replace("code", r"\bf\(", "fact(")})
-    got = test_codes(c, "named", "family", "cases", seconds=20.0).select("digest", "passed_tests")
+    got = tested_codes(c, "named", "family", "cases", seconds=20.0).select("digest", "passed_tests")
     return _each(s, d, c.withColumn("digest", F.sha2(F.col("named").cast("binary"), 256)).join(got, "digest").select("t", "k", "passed_tests"))
 
 

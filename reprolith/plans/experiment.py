@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.code_properties import with_properties
 from ..functions.distance import total_distance
-from ..functions.oracles import test_codes
+from ..functions.oracles import tested_codes
 from ..functions.rewrite import repair_column
 from ..operators import metrics as M
 from ..operators.reports import sweep_conclusion
@@ -29,7 +29,7 @@ def run_experiment(generations: DataFrame, contracts: DataFrame, keep: Callable[
     function, strict. `keep(frame, name)` writes a frame and reads it again.
     """
     g = generations.join(contracts, "contract_id").withColumn("digest", F.sha2(F.col("code").cast("binary"), 256))
-    tests = keep(test_codes(g, "code", "family", "cases"), "tests").select("digest", "family", "passed", F.transform("test_results", lambda r: F.when(r["passed"], "P").otherwise("F")).alias("row"))
+    tests = keep(tested_codes(g, "code", "family", "cases"), "tests").select("digest", "family", "passed", F.transform("test_results", lambda r: F.when(r["passed"], "P").otherwise("F")).alias("row"))
     tested = keep(g.join(tests, ["digest", "family"]), "tested")
     canon = keep(M.anchors(tested, ["contract_id"], F.col("passed"), "run_id", "code").select("contract_id", F.col("anchor_run_id"), F.col("anchor_code").alias("canon")), "canon")
     met = tested.join(canon, "contract_id", "left")
