@@ -65,7 +65,8 @@ _TAIL = "exp(-z * z / 2) / 2.5066282746310002 * (t * (0.319381530 + t * (-0.3565
 
 def _bootstrap(s, d):
     docs = read(s, d, "documents").withColumn("x", F.col("n_chars").cast("double"))
-    return rounded(T.bootstrap(docs, ["lang", "source"], "x", "doc_id", resamples=100), digits=4)
+    ci = T.bootstrap(docs, ["lang", "source"], "x", "doc_id", resamples=100)
+    return ci.select("lang", "source", *(F.round(F.col(c) + 1e-7, 4).alias(c) for c in ("ci_low", "ci_high")))  # off exact halves
 
 
 _BOOT = """
@@ -74,7 +75,7 @@ WITH v AS (SELECT lang, source, list(n_chars::DOUBLE ORDER BY doc_id) AS v FROM
   x1 AS (SELECT *, ((b * 100003 + i) * 1103515245 + 12345) % 2147483648 AS x FROM k),
   x2 AS (SELECT * REPLACE ((xor(x, x >> 13) * 69069 + 5) % 2147483648 AS x) FROM x1),
   m AS (SELECT lang, source, b, sum(v[(xor(x, x >> 11) % n + 1)::INT]) / any_value(n) AS m FROM x2 GROUP BY 1, 2, 3)
-SELECT lang, source, round(quantile_cont(m, 0.025), 4) + 0.0 AS ci_low, round(quantile_cont(m, 0.975), 4) + 0.0 AS ci_high FROM m GROUP BY 1, 2"""
+SELECT lang, source, round(quantile_cont(m, 0.025) + 1e-7, 4) AS ci_low, round(quantile_cont(m, 0.975) + 1e-7, 4) AS ci_high FROM m GROUP BY 1, 2"""
 
 
 def _months(s, d):
