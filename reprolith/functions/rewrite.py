@@ -109,7 +109,7 @@ def imports(tree, canon):
 
 
 #: Methods that come first, in this order; the others by name.
-METHODS = ("__new__", "__init__", "__del__", "__repr__", "__str__", "__eq__", "__hash__", "__lt__", "__len__", "__getitem__", "__setitem__", "__contains__", "__iter__", "__next__", "__call__", "__enter__", "__exit__")
+METHODS = tuple(f"__{m}__" for m in ("new init del repr str bytes format lt le eq ne gt ge hash bool getattr getattribute setattr delattr dir get set delete call len getitem setitem delitem iter next reversed contains enter exit".split()))
 
 
 @_pass

@@ -22,9 +22,9 @@ def fenced_code(c: Column) -> Column:
 
 def enhance_prompt(prompt: Column, function_name: Column, recursive: Column) -> Column:
     """L2: the prompt with clauses on name, recursion and bare code."""
-    named = F.when(function_name.isNotNull(), F.concat(F.lit("\n\nName the function "), function_name, F.lit("."))).otherwise("")
-    how = F.when(recursive, "\nUse recursion.").otherwise("")
-    return F.concat(prompt, named, how, F.lit("\nAnswer with code only."))
+    named = F.when(function_name.isNotNull(), F.concat(F.lit("\n\nIMPORTANT: The function must be named '"), function_name, F.lit("'."))).otherwise("")
+    how = F.when(recursive, "\nUse a recursive implementation.").otherwise("")
+    return F.concat(prompt, named, how, F.lit("\n\nProvide only the Python code, no explanations or markdown."))
 
 
 def indent_floor(c: Column) -> Column:
@@ -44,13 +44,13 @@ def stripped_lines(c: Column) -> Column:
     return F.array_join(F.filter(F.transform(F.split(c, "\n"), strip), lambda x: x != ""), "\n")
 
 
-#: Names that mean the same function, in order.
-NAME_RULES = ((r"\bfib(?:onacci)?(?:_\w+)?\(", "fibonacci("), (r"\bfact(?:orial)?(?:_\w+)?\(", "factorial("), (r"\b(?:is_?prime|check_prime)\(", "is_prime("), (r"\b(?:gcd|greatest_common_divisor)\(", "gcd("), (r"\b(?:slug(?:ify)?|make_slug)\(", "slugify("), (r"\b(?:merge_?sort)\(", "merge_sort("), (r"\b(?:binary_?search|bsearch)\(", "binary_search("), (r"\b(?:is_?balanced|balanced)\(", "is_balanced("))
+#: Whole names that mean the same function, by that function.
+NAME_RULES = {"fibonacci": ("fib", "fibonacci_sequence", "fib_seq", "generate_fibonacci"), "merge_sort": ("mergesort",), "binary_search": ("binsearch",)}
 
 
 def canonical_names(c: Column) -> Column:
-    for pattern, name in NAME_RULES:
-        c = F.regexp_replace(c, pattern, name)
+    for name, others in NAME_RULES.items():
+        c = F.regexp_replace(c, rf"\b(?:{'|'.join(others)})\b", name)
     return c
 
 
@@ -100,9 +100,9 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def name_similarity(a: Column, b: Column) -> Column:
-    """Shared characters over the larger set; 0 if lengths differ by more than 3."""
+    """1 for one name; shared characters over the larger set; 0 if lengths differ by more than 3."""
     x, y = (F.array_distinct(F.filter(F.split(c, ""), lambda z: z != "")) for c in (a, b))
-    return F.when(F.abs(F.length(a) - F.length(b)) > 3, 0.0).otherwise(F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)).cast("double"), F.greatest(F.size(x), F.size(y)).cast("double")), F.lit(0.0)))
+    return F.when(a == b, 1.0).when(F.abs(F.length(a) - F.length(b)) > 3, 0.0).otherwise(F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)).cast("double"), F.greatest(F.size(x), F.size(y)).cast("double")), F.lit(0.0)))
 
 
 def looks_like_regex(c: Column) -> Column:
@@ -115,12 +115,12 @@ def escapes(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(r"(\\[a-zA-Z])"), F.lit(1))))
 
 
-STEMS = ("arr", "list", "num", "result", "left", "right", "text")
+STEMS = ("arr", "list", "dict", "map", "stack", "bracket", "result")
 
 
 def vars_similar(a: Column, b: Column) -> Column:
     """A shared stem, or both of one character."""
-    stem = [a.contains(s) & b.contains(s) for s in STEMS]
+    stem = [F.lower(a).contains(s) & F.lower(b).contains(s) for s in STEMS]
     out = (F.length(a) == 1) & (F.length(b) == 1)
     for s in stem:
         out = out | s

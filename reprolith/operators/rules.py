@@ -7,21 +7,21 @@ from pyspark.sql import functions as F
 
 #: rule, the property it serves, the mismatch it answers, its class, its priority
 RULES = (
-    ("len_zero_to_not", "logical_equivalence", "comparison", "equivalent", 2),
-    ("boolean_redundancy", "logical_equivalence", "boolean", "equivalent", 2),
-    ("ternary", "control_flow_signature", "branches", "equivalent", 1),
-    ("append_loop", "control_flow_signature", "loops", "equivalent", 3),
-    ("concat_loop", "algebraic_structure", "operations", "equivalent", 3),
-    ("inline_return", "statement_ordering", "statements", "equivalent", 2),
+    ("len_zero_to_not", "logical_equivalence", "empty_check", "equivalent", 2),
+    ("boolean_redundancy", "logical_equivalence", "boolean_redundancy", "equivalent", 2),
+    ("ternary", "control_flow_signature", "ternary_opportunity", "equivalent", 1),
+    ("append_loop", "normalized_ast_structure", "loop_to_comprehension", "equivalent", 3),
+    ("concat_loop", "normalized_ast_structure", "string_building", "equivalent", 3),
+    ("inline_return", "statement_ordering", "return_statement_style", "equivalent", 2),
 )
 #: mismatch, property, its severity, and the condition on the two structs
 MISMATCHES = (
-    ("branches", "control_flow_signature", 0.20, lambda a, b: a["if_statements"] != b["if_statements"]),
-    ("loops", "control_flow_signature", 0.30, lambda a, b: (a["for_loops"] != b["for_loops"]) | (a["while_loops"] != b["while_loops"])),
-    ("statements", "statement_ordering", 0.15, lambda a, b: a["statement_types"] != b["statement_types"]),
-    ("boolean", "logical_equivalence", 0.10, lambda a, b: a["boolean_ops"] != b["boolean_ops"]),
-    ("comparison", "logical_equivalence", 0.15, lambda a, b: a["comparisons"] != b["comparisons"]),
-    ("operations", "algebraic_structure", 0.20, lambda a, b: a["binary_operations"] != b["binary_operations"]),
+    ("ternary_opportunity", "control_flow_signature", 0.20, lambda a, b: a["if_statements"] != b["if_statements"]),
+    ("loop_to_comprehension", "control_flow_signature", 0.30, lambda a, b: (a["for_loops"] != b["for_loops"]) | (a["while_loops"] != b["while_loops"])),
+    ("return_statement_style", "statement_ordering", 0.15, lambda a, b: a["statement_types"] != b["statement_types"]),
+    ("boolean_redundancy", "logical_equivalence", 0.10, lambda a, b: a["boolean_ops"] != b["boolean_ops"]),
+    ("empty_check", "logical_equivalence", 0.15, lambda a, b: a["comparisons"] != b["comparisons"]),
+    ("string_building", "algebraic_structure", 0.20, lambda a, b: a["binary_operations"] != b["binary_operations"]),
 )
 
 

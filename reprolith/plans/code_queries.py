@@ -74,7 +74,7 @@ def _distances(s, d):
 
 def _oracle_tests(s, d):
     cases = '[{"input": 0, "expected": 1}, {"input": 1, "expected": 1}, {"input": 4, "expected": 5}]'
-    c = _distinct(s, d).withColumns({"family": F.lit("factorial"), "cases": F.lit(cases), "named": F.regexp_replace("code", r"\bf\(", "fact(")})
+    c = _distinct(s, d).withColumns({"family": F.lit("factorial"), "cases": F.lit(cases), "named": F.regexp_replace("code", r"\bf\(", "factorial(")})
     got = tested_codes(c, "named", "family", "cases", seconds=20.0).select("digest", "passed_tests")
     return _each(s, d, c.withColumn("digest", F.sha2(F.col("named").cast("binary"), 256)).join(got, "digest").select("t", "k", "passed_tests"))
 
@@ -87,8 +87,8 @@ def _repaired(s, d):
     c = _distinct(s, d).filter("t < 4")
     canon = TEMPLATES[2] % 1
     cases = '[{"input": 0, "expected": 1}, {"input": 4, "expected": 5}]'
-    named = lambda x: x.replace("f(", "fact(")
-    r = repair_column(F.regexp_replace("code", r"\bf\(", "fact("), F.lit(named(canon)), F.lit("fact"), F.lit("factorial"), F.lit(cases), 20.0)
+    named = lambda x: x.replace("f(", "factorial(")
+    r = repair_column(F.regexp_replace("code", r"\bf\(", "factorial("), F.lit(named(canon)), F.lit("factorial"), F.lit("factorial"), F.lit(cases), 20.0)
     return c.withColumn("r", r).select("t", "k", F.col("r.level").alias("level"), F.col("r.success").alias("success"))
 
 
@@ -135,7 +135,7 @@ QUERIES: dict[str, Query] = {
     "m1_repair": (lambda s, d: _each(s, d, _repaired(s, d)), f"SELECT o_orderkey, CASE WHEN {_T} = 2 THEN 0 ELSE 3 END AS level, true AS success FROM orders WHERE {_T} < 4"),
     "m29_pipeline": (lambda s, d: _each(s, d, _distinct(s, d).filter("t < 4").withColumn("r", pipeline_column(F.concat(F.lit("def g(n):\n    y = n * "), F.col("k").cast("string"), F.lit("\n    return y")), F.lit("def g(n):\n    return n * 3"))).select("t", "k", F.array_join("r.applied", ",").alias("applied"), F.regexp_extract("r.code", r"return (.*)$", 1).alias("returned"))), f"SELECT o_orderkey, 'inline_return' AS applied, 'n * ' || {_K} AS returned FROM orders WHERE {_T} < 4"),
     "a35_property_sizes": (_size(nodes="normalized_ast_structure.node_types"), _sql(nodes=(10, 28, 31, 40, "NULL"))),
-    "a36_rule_statistics": (lambda s, d: RU.rule_statistics(RU.rules(s)), "SELECT * FROM (VALUES ('priority', '1', 1), ('priority', '2', 3), ('priority', '3', 2), ('property', 'logical_equivalence', 2), ('property', 'control_flow_signature', 2), ('property', 'algebraic_structure', 1), ('property', 'statement_ordering', 1), ('mismatch', 'comparison', 1), ('mismatch', 'boolean', 1), ('mismatch', 'branches', 1), ('mismatch', 'loops', 1), ('mismatch', 'operations', 1), ('mismatch', 'statements', 1)) v(\"by\", value, n)"),
+    "a36_rule_statistics": (lambda s, d: RU.rule_statistics(RU.rules(s)), "SELECT * FROM (VALUES ('priority', '1', 1), ('priority', '2', 3), ('priority', '3', 2), ('property', 'logical_equivalence', 2), ('property', 'control_flow_signature', 1), ('property', 'normalized_ast_structure', 2), ('property', 'statement_ordering', 1), ('mismatch', 'empty_check', 1), ('mismatch', 'boolean_redundancy', 1), ('mismatch', 'ternary_opportunity', 1), ('mismatch', 'loop_to_comprehension', 1), ('mismatch', 'string_building', 1), ('mismatch', 'return_statement_style', 1)) v(\"by\", value, n)"),
     "m11_mismatches": (lambda s, d: rounded(_each(s, d, _distances(s, d).select("t", "k", RU.total_severity(RU.mismatches(F.col("p"), F.col("c"))).alias("severity")))), _sql(severity=("0.7::DOUBLE", "1.0", "0.0", "1.0", "0.0"))),
     "o4_selected_rules": (lambda s, d: _each(s, d, RU.select_rules(_distances(s, d).select(F.struct("t", "k").alias("key"), F.explode(RU.mismatches(F.col("p"), F.col("c"))).alias("m")).select("key", "m.mismatch", "m.severity"), "key", RU.rules(s)).filter("place = 0").select("key.t", "key.k", "rule")), f"SELECT o_orderkey, CASE {_T} WHEN 0 THEN 'concat_loop' ELSE 'append_loop' END AS rule FROM orders WHERE {_T} IN (0, 1, 3)"),
     "x3_stream_windows": (_stream, "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(avg(value), 6) + 0.0 AS mean FROM events GROUP BY 1, 2"),

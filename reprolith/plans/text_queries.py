@@ -23,11 +23,11 @@ _ASCII = "(SELECT doc_id, regexp_replace(text, '[^ -~]', 'x', 'g') AS text FROM
 _HEADS = "substr(text, 1, 64)"
 
 QUERIES: dict[str, Query] = {
-    "l2_prompt": (lambda s, d: read(s, d, "conversations").select("conv_id", "turn", X.enhance_prompt(F.substring("text", 1, 20), F.when(F.col("turn") == 0, "f"), F.col("role") == "user").alias("prompt")), "SELECT conv_id, turn, substr(text, 1, 20) || CASE WHEN turn = 0 THEN chr(10) || chr(10) || 'Name the function f.' ELSE '' END || CASE WHEN role = 'user' THEN chr(10) || 'Use recursion.' ELSE '' END || chr(10) || 'Answer with code only.' AS prompt FROM conversations"),
+    "l2_prompt": (lambda s, d: read(s, d, "conversations").select("conv_id", "turn", X.enhance_prompt(F.substring("text", 1, 20), F.when(F.col("turn") == 0, "f"), F.col("role") == "user").alias("prompt")), "SELECT conv_id, turn, substr(text, 1, 20) || CASE WHEN turn = 0 THEN chr(10) || chr(10) || 'IMPORTANT: The function must be named ''f''.' ELSE '' END || CASE WHEN role = 'user' THEN chr(10) || 'Use a recursive implementation.' ELSE '' END || chr(10) || chr(10) || 'Provide only the Python code, no explanations or markdown.' AS prompt FROM conversations"),
     "l3_indent_floor": (lambda s, d: read(s, d, "supplier").select("s_suppkey", X.indent_floor(F.concat(F.repeat(F.lit(" "), (F.col("s_suppkey") % 11).cast("int")), F.col("s_name"), F.lit("\n\n x"))).alias("out")), "SELECT s_suppkey, repeat(' ', (s_suppkey % 11 // 4 * 4)::INT) || s_name || chr(10) || 'x' AS out FROM supplier"),
     "l4_collapse": (lambda s, d: _docs(s, d).select("doc_id", F.md5(X.collapse(F.col("text")).cast("binary")).alias("h")), r"SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS h FROM documents"),
     "l5_strip_lines": (lambda s, d: _docs(s, d).select("doc_id", F.length(X.stripped_lines(F.col("text"))).alias("n")), r"SELECT doc_id, length(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10)))::INT AS n FROM documents"),
-    "l6_names": (lambda s, d: read(s, d, "supplier").select("s_suppkey", X.canonical_names(F.concat(F.element_at(F.array(*(F.lit(x) for x in ("fib_iter(", "factorial_of(", "check_prime(", "bsearch("))), (F.col("s_suppkey") % 4 + 1).cast("int")), F.lit("n)"))).alias("out")), "SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'fibonacci(n)' WHEN 1 THEN 'factorial(n)' WHEN 2 THEN 'is_prime(n)' ELSE 'binary_search(n)' END AS out FROM supplier"),
+    "l6_names": (lambda s, d: read(s, d, "supplier").select("s_suppkey", X.canonical_names(F.concat(F.element_at(F.array(*(F.lit(x) for x in ("fib(", "generate_fibonacci(", "mergesort(", "binsearch("))), (F.col("s_suppkey") % 4 + 1).cast("int")), F.lit("n)"))).alias("out")), "SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'fibonacci(n)' WHEN 1 THEN 'fibonacci(n)' WHEN 2 THEN 'merge_sort(n)' ELSE 'binary_search(n)' END AS out FROM supplier"),
     "l7_comments": (_of("supplier", "s_suppkey", lambda: dict(out=X.cut_comments(F.concat(F.lit("a = 1 # x\n# all\nb = "), F.col("s_suppkey").cast("string"))))), "SELECT s_suppkey, 'a = 1 ' || chr(10) || 'b = ' || s_suppkey AS out FROM supplier"),
     "l8_operators": (_of("supplier", "s_suppkey", lambda: dict(out=X.space_operators(F.concat(F.lit("x=a+"), F.col("s_suppkey").cast("string"), F.lit("**2//3!=b"))))), "SELECT s_suppkey, 'x = a + ' || s_suppkey || ' ** 2 // 3 != b' AS out FROM supplier"),
     "l9_blanks": (_of("supplier", "s_suppkey", lambda: dict(out=X.single_blanks(F.concat(F.lit("a  \n\n\n\n"), F.col("s_name"))))), "SELECT s_suppkey, 'a' || chr(10) || chr(10) || s_name AS out FROM supplier"),

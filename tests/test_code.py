@@ -52,7 +52,11 @@ def test_properties_once_a_text(spark):
 def test_sandbox_and_families():
     with Sandbox(3.0) as box:
         assert run_tests(box, GCD, "gcd", [{"input": [12, 18], "expected": 6}, {"input": [5, 0], "expected": 5}])["passed"]
-        assert run_tests(box, FIB, "fibonacci")["pass_rate"] == 1.0
+        r = run_tests(box, FIB, "fibonacci")
+        assert r["pass_rate"] == 1.0 and r["total_tests"] == 10
+        lists = "def fibonacci(n):\n    out = [0, 1]\n    while len(out) < n:\n        out.append(out[-1] + out[-2])\n    return out[:n]"
+        assert run_tests(box, lists, "fibonacci")["passed_tests"] == 3
+        assert not run_tests(box, "def fibonacci(n): return n / 0", "fibonacci")["passed"]
         assert run_tests(box, "def msort(a):\n    a.sort()", "merge_sort")["passed"]
         assert run_tests(box, "def search(a, x):\n    return a.index(x) if x in a else None", "binary_search")["passed"]
         assert run_tests(box, "def sieve(n):\n    return {p for p in range(2, n + 1) if all(p % q for q in range(2, p))}.__iter__().__length_hint__()", "sieve_eratosthenes")["pass_rate"] < 0.8

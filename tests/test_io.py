@@ -62,7 +62,7 @@ def test_empty_metrics(spark):
 
 
 def test_rules(spark):
-    found = spark.createDataFrame([(1, "loops", 0.3), (1, "boolean", 0.1), (2, "branches", 0.2)], "key int, mismatch string, severity double")
+    found = spark.createDataFrame([(1, "loop_to_comprehension", 0.3), (1, "boolean_redundancy", 0.1), (2, "ternary_opportunity", 0.2)], "key int, mismatch string, severity double")
     got = RU.select_rules(found, "key", RU.rules(spark)).orderBy("key", "place").collect()
     assert [(r.key, r.place, r.rule) for r in got] == [(1, 0, "append_loop"), (1, 1, "boolean_redundancy"), (2, 0, "ternary")]
     assert RU.select_rules(found, "key", RU.rules(spark), least=0.8).count() == 1
