@@ -15,9 +15,27 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table `name` below `sf_dir`, by any path that Spark can read."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes of an Arrow batch between JVM and Python, at most; texts may be long.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1_000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH where they are larger, so that workers hold little at a time."""
+    for key, most in BATCH.items():
+        try:
+            now = spark.conf.get(key).removesuffix("b")
+        except Exception as e:  # a Spark without that setting
+            if "SQL_CONF_NOT_FOUND" not in str(e):
+                raise
+            continue
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir of the session.
 
@@ -31,9 +49,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clean_scratch(spark: SparkSession) -> int:
+    """Delete what this process wrote to the shared folder; call it when the results are stored elsewhere."""
+    n = len(_made)
+    while _made:
+        drop_path(spark, _made.pop())
+    return n
 
 
 def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
@@ -41,6 +71,7 @@ def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
 
     A lost executor costs nothing that is written; later readers prune columns.
     """
+    bounded_batches(df.sparkSession)
     path = path or scratch(df.sparkSession, label)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
