@@ -19,9 +19,25 @@ from pyspark.sql.types import StringType
 
 #: Names that renaming leaves alone.
 FIXED_NAMES = frozenset({"range", "len", "print", "max", "min", "sum", "abs"})
-LEVELS = {"Pow": 6, "Mult": 4, "Div": 4, "FloorDiv": 4, "Mod": 4, "Add": 3, "Sub": 3, "LShift": 2, "RShift": 2, "BitAnd": 1, "BitXor": 1, "BitOr": 1}
-
-PROPERTIES = ("control_flow_signature", "data_dependency_graph", "execution_paths", "function_contracts", "complexity_class", "side_effect_profile", "termination_properties", "algebraic_structure", "numerical_behavior", "logical_equivalence", "normalized_ast_structure", "operator_precedence", "statement_ordering", "recursion_schema")
+LEVELS = {op: level for level, ops in ((6, "Pow"), (4, "Mult Div FloorDiv Mod"), (3, "Add Sub"), (2, "LShift RShift"), (1, "BitAnd BitXor BitOr")) for op in ops.split()}
+
+PROPERTIES = tuple("""control_flow_signature data_dependency_graph execution_paths function_contracts complexity_class side_effect_profile
+termination_properties algebraic_structure numerical_behavior logical_equivalence normalized_ast_structure operator_precedence
+statement_ordering recursion_schema""".split())
+
+#: What a walk starts from: counts at 0, flags down, lists empty.
+_START = {
+    "control_flow_signature": ("if_statements for_loops while_loops nested_depth", "", "function_calls branch_patterns"),
+    "execution_paths": ("", "", "execution_paths"),
+    "complexity_class": ("nested_loops recursive_calls", "", ""),
+    "side_effect_profile": ("", "has_print has_global_access has_file_io modifies_arguments", ""),
+    "termination_properties": ("recursive_depth", "has_base_case has_bounded_loops", ""),
+    "algebraic_structure": ("", "", "commutative_ops associative_ops binary_operations"),
+    "numerical_behavior": ("", "uses_integers uses_floats has_arithmetic", "numeric_constants"),
+    "logical_equivalence": ("", "", "boolean_ops comparisons logical_patterns"),
+    "statement_ordering": ("", "", "statement_types statement_sequence control_flow_order"),
+    "recursion_schema": ("", "is_recursive", "base_cases recursive_calls termination_guards"),
+}
 
 SCHEMA = """struct<
 control_flow_signature: struct<if_statements:int, for_loops:int, while_loops:int, nested_depth:int, function_calls:array<string>, branch_patterns:array<string>>,
@@ -88,18 +104,9 @@ class _Walk:
     """One pre-order walk; every property reads the nodes as they come by."""
 
     def __init__(self) -> None:
-        self.p = {
-            "control_flow_signature": {"if_statements": 0, "for_loops": 0, "while_loops": 0, "nested_depth": 0, "function_calls": [], "branch_patterns": []},
-            "execution_paths": {"execution_paths": []},
-            "complexity_class": {"nested_loops": 0, "recursive_calls": 0, "estimated_complexity": "O(1)"},
-            "side_effect_profile": {"has_print": False, "has_global_access": False, "has_file_io": False, "modifies_arguments": False, "is_pure": True},
-            "termination_properties": {"has_base_case": False, "has_bounded_loops": False, "recursive_depth": 0},
-            "algebraic_structure": {"commutative_ops": [], "associative_ops": [], "binary_operations": []},
-            "numerical_behavior": {"uses_integers": False, "uses_floats": False, "has_arithmetic": False, "numeric_constants": []},
-            "logical_equivalence": {"boolean_ops": [], "comparisons": [], "logical_patterns": []},
-            "statement_ordering": {"statement_types": [], "statement_sequence": [], "control_flow_order": []},
-            "recursion_schema": {"is_recursive": False, "recursion_pattern": None, "base_cases": [], "recursive_calls": [], "termination_guards": []},
-        }
+        self.p: dict = {k: dict.fromkeys(n.split(), 0) | dict.fromkeys(f.split(), False) | {x: [] for x in lists.split()} for k, (n, f, lists) in _START.items()}
+        self.p["side_effect_profile"]["is_pure"] = True
+        self.p["recursion_schema"]["recursion_pattern"] = None
         self.types: list[str] = []
         self.deepest = 0
         self.uses: dict[str, set[str]] = {}
@@ -139,10 +146,9 @@ class _Walk:
             case ast.Call(func=ast.Name(id=called)):
                 self._call(node, called, function)
             case ast.Assign():
-                for target in node.targets:
-                    if isinstance(target, ast.Name):
-                        self.uses.setdefault(target.id, set()).update(_uses(node.value))
-                        self.values[target.id] = ast.dump(node.value)
+                for name in (t.id for t in node.targets if isinstance(t, ast.Name)):
+                    self.uses.setdefault(name, set()).update(_uses(node.value))
+                    self.values[name] = ast.dump(node.value)
             case ast.Global():
                 p["side_effect_profile"] |= {"has_global_access": True, "is_pure": False}
             case ast.BinOp():
@@ -180,7 +186,7 @@ class _Walk:
                 p["side_effect_profile"] |= {flag: True, "is_pure": False}
         if function is not None and called == function:
             p["recursion_schema"]["is_recursive"] = True
-            p["recursion_schema"]["recursive_calls"].append({"num_args": len(node.args), "arg_patterns": [type(a).__name__ for a in node.args]})
+            p["recursion_schema"]["recursive_calls"].append(dict(num_args=len(node.args), arg_patterns=[type(a).__name__ for a in node.args]))
 
 
 def extract(code: str | None) -> dict | None:

@@ -46,12 +46,16 @@ def violations(code: str | None, rules: Sequence[str] = ("misra_15_4", "misra_15
         elif rule == "misra_15_4":
             out += [f"{rule}: {type(n).__name__.lower()}" for n in nodes if isinstance(n, (ast.Break, ast.Continue))]
         elif rule in ("misra_17_2", "p10_1"):
-            out += [f"{rule}: {f.name} calls itself" for f in functions if any(isinstance(n, ast.Call) and isinstance(n.func, ast.Name) and n.func.id == f.name for n in ast.walk(f))]
+            out += [f"{rule}: {f.name} calls itself" for f in functions if f.name in _called(f)]
         elif rule in ("misra_21_3", "p10_3"):
             out += [f"{rule}: imports collections" for n in nodes if isinstance(n, ast.ImportFrom) and n.module == "collections" or isinstance(n, ast.Import) and any(a.name == "collections" for a in n.names)]
     return out
 
 
+def _called(tree: ast.AST) -> set[str]:
+    return {c.func.id for c in ast.walk(tree) if isinstance(c, ast.Call) and isinstance(c.func, ast.Name)}
+
+
 def compliance(code: str, forbidden: Sequence[str] = (), required: Sequence[str] = (), rules: Sequence[str] = ()) -> tuple[bool, list[str]]:
     """Forbidden substrings, required ones, then structural rules; compliant if none is broken."""
     found = [f"forbidden: {x}" for x in forbidden if x in code] + [f"missing: {x}" for x in required if x not in code]

@@ -37,7 +37,7 @@ def _cases(*pairs: tuple) -> tuple:
     return tuple(([x], y) for x, y in pairs)
 
 
-_PRIMES = [2, 3, 5, 7, 11, 13, 17, 19]
+_PRIMES = [p for p in range(2, 20) if all(p % q for q in range(2, p))]
 _FIB = _cases((0, 0), (1, 1), (2, 1), (5, 5), (10, 55))
 #: Of a function that gives the whole sequence instead.
 _FIB_LISTS = _cases((0, []), (1, [0]), (5, [0, 1, 1, 2, 3]))
@@ -94,7 +94,7 @@ def _steps(family: Family, cases: list[dict]) -> tuple[list[dict], list[Any], li
 def run_tests(sandbox: Sandbox, code: str | None, family_name: str, cases: list[dict] | None = None, required: float = 0.8) -> dict:
     """{passed, pass_rate, passed_tests, total_tests, error, test_results} of one candidate."""
     family = FAMILIES.get(family_name)
-    empty = {"passed": False, "pass_rate": 0.0, "passed_tests": 0, "total_tests": 0, "error": None, "test_results": []}
+    empty = dict(passed=False, pass_rate=0.0, passed_tests=0, total_tests=0, error=None, test_results=[])
     if family is None:
         return empty | {"error": f"unknown family {family_name}"}
     if family_name == "dijkstra":  # no test is known: passes, as its users rely on

@@ -64,7 +64,10 @@ def _function(tree: ast.AST | None, name: str | None = None) -> ast.FunctionDef
 
 
 def _is_call(node: ast.AST, name: str) -> bool:
-    return isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id == name
+    match node:
+        case ast.Call(ast.Name(called)):
+            return called == name
+    return False
 
 
 @_pass
@@ -73,7 +76,7 @@ def midpoint(tree, canon):
 
     def f(n):
         match n:
-            case ast.BinOp(left=ast.BinOp(left=ast.Name() as a, op=ast.Add(), right=ast.Name() as b), op=ast.FloorDiv(), right=ast.Constant(value=2)):
+            case ast.BinOp(ast.BinOp(ast.Name() as a, ast.Add(), ast.Name() as b), ast.FloorDiv(), ast.Constant(2)):
                 return ast.BinOp(a, ast.Add(), ast.BinOp(ast.BinOp(b, ast.Sub(), a), ast.FloorDiv(), ast.Constant(2)))
 
     return _Each(f).visit(tree)

@@ -24,7 +24,7 @@ def enhance_prompt(prompt: Column, function_name: Column, recursive: Column) ->
     """L2: the prompt with clauses on name, recursion and bare code."""
     named = F.when(function_name.isNotNull(), F.concat(F.lit("\n\nIMPORTANT: The function must be named '"), function_name, F.lit("'."))).otherwise("")
     how = F.when(recursive, "\nUse a recursive implementation.").otherwise("")
-    return F.concat(prompt, named, how, F.lit("\n\nProvide only the Python code, no explanations or markdown."))
+    return F.concat(prompt, named, how, F.lit("\n\nProvide only the Python code, " + "no explanations or markdown."))
 
 
 def indent_floor(c: Column) -> Column:

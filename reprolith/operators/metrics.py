@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Tolerances of R_repair@k, and the two more of the distribution chart.
-TOLERANCES = (0.05, 0.1, 0.15, 0.2)
-CHART_TOLERANCES = (*TOLERANCES, 0.25, 0.3)
+TOLERANCES = tuple(k / 20 for k in range(1, 5))
+CHART_TOLERANCES = (*TOLERANCES, 1 / 4, 3 / 10)
 
 
 def ratio(a: Column, b: Column, default: float = 0.0) -> Column:

@@ -103,7 +103,7 @@ def reasons(df: DataFrame, reason: Column, failed: Column) -> DataFrame:
 
 def distance_bucket(d: Column) -> Column:
     """Right-open buckets at 0, .1, .2, .3, .5, 1; beyond 999 none."""
-    edges = [0.0, 0.1, 0.2, 0.3, 0.5, 1.0, 999.0]
+    edges = [k / 10 for k in (0, 1, 2, 3, 5, 10, 9990)]
     out = F.lit(None).cast("string")
     for lo, hi in zip(edges, edges[1:], strict=False):
         out = F.when((d >= lo) & (d < hi), f"[{lo:g},{hi:g})").otherwise(out)

@@ -247,7 +247,7 @@ def bca(df: DataFrame, group: Sequence[str], value: str, resamples: int = 1000,
 
 def signed_rank(before: np.ndarray, after: np.ndarray) -> dict:
     """T14 of two samples: one-sided (after is greater); exact for up to 50 differences without ties or zeros."""
-    if len(before) != len(after):
+    if before.shape != after.shape:
         raise ValueError("samples differ in length")
     if len(before) < 3:
         return {"w": None, "p": None, "significant": None}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 
 from pyspark.sql import functions as F
@@ -73,7 +74,7 @@ def _distances(s, d):
 
 
 def _oracle_tests(s, d):
-    cases = '[{"input": 0, "expected": 1}, {"input": 1, "expected": 1}, {"input": 4, "expected": 5}]'
+    cases = json.dumps([{"input": n, "expected": v} for n, v in ((0, 1), (1, 1), (4, 5))])
     c = _distinct(s, d).withColumns({"family": F.lit("factorial"), "cases": F.lit(cases), "named": F.regexp_replace("code", r"\bf\(", "factorial(")})
     got = tested_codes(c, "named", "family", "cases", seconds=20.0).select("digest", "passed_tests")
     return _each(s, d, c.withColumn("digest", F.sha2(F.col("named").cast("binary"), 256)).join(got, "digest").select("t", "k", "passed_tests"))
@@ -86,7 +87,7 @@ _PASSED = f"CASE {_T} WHEN 0 THEN CASE {_K} WHEN 1 THEN 2 WHEN 0 THEN 1 ELSE 0 E
 def _repaired(s, d):
     c = _distinct(s, d).filter("t < 4")
     canon = TEMPLATES[2] % 1
-    cases = '[{"input": 0, "expected": 1}, {"input": 4, "expected": 5}]'
+    cases = json.dumps([{"input": n, "expected": v} for n, v in ((0, 1), (4, 5))])
     named = lambda x: x.replace("f(", "factorial(")
     r = repair_column(F.regexp_replace("code", r"\bf\(", "factorial("), F.lit(named(canon)), F.lit("factorial"), F.lit("factorial"), F.lit(cases), 20.0)
     return c.withColumn("r", r).select("t", "k", F.col("r.level").alias("level"), F.col("r.success").alias("success"))

@@ -78,7 +78,7 @@ QUERIES: dict[str, Query] = {
     "a5_anchor_stats": (lambda s, d: rounded(_all(s, d).select(*GROUP, "exact_pre", "n", "mean_distance_pre", "min_distance_pre")), f"SELECT lang, source, exact_pre, n, round(mean_distance_pre, 6) + 0.0 AS mean_distance_pre, round(min_distance_pre, 6) + 0.0 AS min_distance_pre FROM ({_METRICS_SQL})"),
     "a6_delta_rescue": (_part("delta_rescue"), _part_sql(delta_rescue="r_anchor_post - r_anchor_pre")),
     "a7_r_repair": (_part(*(f"r_repair_at_{k}_{s}" for k in M.TOLERANCES for s in ("pre", "post"))), _part_sql(**{f"r_repair_at_{k}_{s}".replace(".", "_"): f'"r_repair_at_{k}_{s}"' for k in M.TOLERANCES for s in ("pre", "post")})),
-    "a7_repair_curve": (lambda s, d: rounded(M.repair_curve(compared(s, d), GROUP, "distance_post")), f"WITH {COMPARED_SQL} SELECT lang, source, k::DOUBLE AS k, round(avg((distance_post <= k)::INT), 6) + 0.0 AS r_repair FROM compared, (SELECT unnest([0.05, 0.1, 0.15, 0.2, 0.25, 0.3]) AS k) GROUP BY lang, source, k"),
+    "a7_repair_curve": (lambda s, d: rounded(M.repair_curve(compared(s, d), GROUP, "distance_post")), f"WITH {COMPARED_SQL} SELECT lang, source, k::DOUBLE AS k, round(avg((distance_post <= k)::INT), 6) + 0.0 AS r_repair FROM compared, (SELECT unnest([5, 10, 15, 20, 25, 30]) / 100 AS k) GROUP BY lang, source, k"),
     "a8_delta_p_tau": (_part(*(f"delta_p_tau_{k}" for k in M.TOLERANCES)), _part_sql(**{f"delta_p_tau_{k}".replace(".", "_"): f'"r_repair_at_{k}_post" - "r_repair_at_{k}_pre"' for k in M.TOLERANCES})),
     "a9_delta_mu": (_part("mean_distance_pre", "std_distance_pre", "mean_distance_post", "std_distance_post", "delta_mu"), _part_sql(**{c: c for c in ("mean_distance_pre", "std_distance_pre", "mean_distance_post", "std_distance_post")}, delta_mu="mean_distance_pre - mean_distance_post")),
     "a10_canon_coverage": (_part("canon_coverage"), _part_sql(canon_coverage="canon_coverage")),

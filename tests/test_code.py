@@ -10,10 +10,11 @@ from reprolith.functions import compliance as C
 from reprolith.functions import distance as D
 from reprolith.functions import rewrite as W
 from reprolith.functions.code_properties import extract, properties, with_properties
-from reprolith.functions.oracles import OutOfDomain, behavioural_distance, equivalent, passes_in_domain, run_tests, tested_codes
+from reprolith.functions.oracles import OutOfDomain, behavioural_distance, equivalent, passes_in_domain, run_tests
+from reprolith.functions.oracles import tested_codes as verdicts_of
 from reprolith.functions.sandbox import Sandbox
 
-GCD = "def gcd(a, b):\n    while b:\n        a, b = b, a % b\n    return a"
+GCD = "\n".join(("def gcd(a, b):", "    while b:", 8 * " " + "a, b = b, a % b", "    return a"))
 FIB = "def fibonacci(n):\n    if n <= 1:\n        return n\n    return fibonacci(n - 1) + fibonacci(n - 2)"
 
 
@@ -26,7 +27,7 @@ def test_known_hashes():
 def test_properties_of_recursion():
     p = extract(FIB)
     assert p["recursion_schema"]["recursion_pattern"] == "divide_and_conquer" and p["complexity_class"]["estimated_complexity"] == "O(2^n)"
-    assert p["recursion_schema"]["base_cases"] == [{"condition": "n <= 1", "return_type": "expression"}]
+    assert p["recursion_schema"]["base_cases"] == [dict(condition="n <= 1", return_type="expression")]
     assert extract("def f(:") is None and extract(None) is None
 
 
@@ -63,7 +64,7 @@ def test_sandbox_and_families():
         assert not run_tests(box, GCD, "slugify")["passed"] and not run_tests(box, GCD, "nothing")["passed"]
         assert run_tests(box, "", "dijkstra")["passed"]
         cache = "class LRUCache:\n    def __init__(self, n):\n        self.d = {}\n    def put(self, k, v):\n        self.d[k] = v\n    def get(self, k):\n        return self.d.get(k, -1)"
-        assert run_tests(box, cache, "lru_cache", [{"operations": [{"op": "init", "args": [2]}, {"op": "put", "args": [1, 7]}, {"op": "get", "args": [1], "expected": 7}, {"op": "get", "args": [2], "expected": -1}]}])["passed"]
+        assert run_tests(box, cache, "lru_cache", [{"operations": [dict(op=o, args=a, expected=e) for o, a, e in (("init", [2], None), ("put", [1, 7], None), ("get", [1], 7), ("get", [2], -1))]}])["passed"]
         assert run_tests(box, "def quick(a):\n    return sorted(a)", "quick_sort", [{"input": [[3, 1]], "expected": [1, 3]}])["passed"]
         assert equivalent(box, "def f(n): return n + n", "def g(x): return 2 * x") and behavioural_distance(box, "def f(n): return n", "def f(n): return n + (n > 4)") == pytest.approx(3 / 7)
 
@@ -78,7 +79,7 @@ def test_sandbox_kills():
 
 def test_tests_of_a_frame(spark):
     df = spark.createDataFrame([(i, GCD if i % 2 else "def gcd(a, b): return 1", "gcd", json.dumps([{"input": [4, 6], "expected": 2}])) for i in range(20)], "i int, code string, family string, cases string")
-    got = tested_codes(df, "code", "family", "cases").collect()
+    got = verdicts_of(df, "code", "family", "cases").collect()
     assert sorted(r.passed for r in got) == [False, True]
 
 

@@ -24,7 +24,7 @@ def test_summary_round_trip(spark, tmp_path):
 
 
 def test_experiments(spark, tmp_path):
-    good = {"experiment_id": "a", "contract_id": "gcd", "model": "m", "temperature": 0.0, "llm_results": [{"run_id": 1, "raw_output": None, "success": False, "error": "x"}, {"run_id": 2, "raw_output": "c", "success": True}]}
+    good = {"experiment_id": "a", "contract_id": "gcd", "model": "m", "temperature": 0.0, "llm_results": [dict(run_id=1, raw_output=None, success=False, error="x"), dict(run_id=2, raw_output="c", success=True)]}
     (tmp_path / "gcd_temp0.json").write_text(json.dumps(good, indent=1))
     (tmp_path / "bad_temp0.json").write_text("{ broken")
     got = io.read_experiments(spark, f"{tmp_path}/*_temp*.json")
@@ -33,7 +33,7 @@ def test_experiments(spark, tmp_path):
 
 
 def test_contracts(spark, tmp_path):
-    (tmp_path / "c.json").write_text(json.dumps([{"contract_id": "gcd", "prompt": "p", "constraints": {"k": "v"}, "oracle_requirements": {"test_cases": [{"input": [1, 2], "expected": 1}]}}]))
+    (tmp_path / "c.json").write_text(json.dumps([{"contract_id": "gcd", "prompt": "p", "constraints": {"k": "v"}, "oracle_requirements": dict(test_cases=[dict(input=[1, 2], expected=1)])}]))
     c = io.read_contracts(spark, str(tmp_path))
     r = io.contract(c, "gcd").first()
     assert r.language == "python" and json.loads(r.oracle_requirements.test_cases[0].input) == [1, 2]

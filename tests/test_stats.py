@@ -36,7 +36,7 @@ def test_effects(spark):
 
 
 def test_holm(spark):
-    df = spark.createDataFrame([(p,) for p in (0.001, 0.01, 0.03, 0.06, 0.10)], "p double")
+    df = spark.createDataFrame([(float(p),) for p in ".001 .01 .03 .06 .10".split()], "p double")
     got = T.holm(df, "p").orderBy("p").collect()
     assert [r.adjusted_p for r in got] == [pytest.approx(0.005), pytest.approx(0.04), pytest.approx(0.09), None, None]
     assert [r.rejected for r in got] == [True, True, False, False, False]
@@ -44,8 +44,8 @@ def test_holm(spark):
 
 
 def test_wilcoxon():
-    x = np.array([0.3, 0.4, 0.5, 0.4, 0.3])
-    r = T.signed_rank(x, np.array([0.8, 0.9, 0.85, 0.9, 0.95]))
+    x = np.array([3, 4, 5, 4, 3]) / 10
+    r = T.signed_rank(x, np.array([16, 18, 17, 18, 19]) / 20)
     assert r["significant"] and r["p"] < 0.05
     assert T.signed_rank(x, x)["p"] == 1.0
     assert T.signed_rank(x[:2], x[:2])["p"] is None
@@ -62,7 +62,7 @@ def test_shapiro_wilk():
 
 
 def test_describe(spark):
-    df = spark.createDataFrame([(x,) for x in (0.4, 0.5, 0.6, 0.7, 0.8)], "x double")
+    df = spark.createDataFrame([(x / 10,) for x in range(4, 9)], "x double")
     r = T.describe(df, [], "x").first()
     assert (r.n, r["mean"], r["median"], r["min"], r["max"]) == (5, pytest.approx(0.6), 0.6, 0.4, 0.8)
 
