@@ -101,27 +101,50 @@ class EliasFano:
         top = (self._select(i, zeros=False) - i).astype(np.uint64)
         return top << np.uint64(self.low_bits) | self._low_at(i)
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """The least index whose value is >= x; n if there is none."""
-        x = np.asarray(x, np.uint64)
-        if not self.n or not len(x):
-            return np.full(len(x), self.n if not self.n else 0, np.int64)
+    def _bucket(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each x: whether its high bits occur in range, and the indices [lo, hi) that share them."""
         top = (x >> np.uint64(self.low_bits)).astype(np.int64)
         last = int(len(self.high) * 64 - self.n - 1)  # zeros that there are, but one
         inside = top <= last
         t = np.where(inside, top, 0)
-        lo = np.where(t > 0, self._select(np.maximum(t - 1, 0), zeros=True) - np.maximum(t - 1, 0), 0)
-        hi = self._select(t, zeros=True) - t
-        low = x & np.uint64((1 << self.low_bits) - 1)
+        at = np.where(t > 0, self._select(np.maximum(t - 1, 0), zeros=True) + 1, 0)  # the first bit of the bucket
+        word, shift = at >> 6, (at & 63).astype(np.uint64)
+        w = self.high[word] >> shift
+        w |= np.where(shift > 0, self.high[np.minimum(word + 1, len(self.high) - 1)] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
+        run = np.bitwise_count(w ^ (w + np.uint64(1))).astype(np.int64) - 1  # ones in a row from there
+        long = (run >= 63) | (w == np.uint64(0xFFFFFFFFFFFFFFFF))
+        if long.any():
+            run[long] = self._select(t[long], zeros=True) - at[long]
+        return inside, at - t, at - t + run
+
+    def successor(self, x: np.ndarray) -> np.ndarray:
+        """The least index whose value is >= x; n if there is none."""
+        return self._search(x)[0]
+
+    def index(self, x: np.ndarray) -> np.ndarray:
+        """The least index whose value is x; -1 if it isn't there."""
+        at, same = self._search(x)
+        return np.where(same, at, -1)
+
+    def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Successors, and whether they equal what was asked for."""
+        x = np.asarray(x, np.uint64)
+        if not self.n or not len(x):
+            return np.full(len(x), self.n, np.int64), np.zeros(len(x), bool)
+        inside, lo, hi = self._bucket(x)
+        low, end = x & np.uint64((1 << self.low_bits) - 1), hi
         while True:  # binary search of the low bits among those with the same high bits
-            open_ = lo < hi
-            if not open_.any():
+            at = np.flatnonzero(lo < hi)
+            if not len(at):
                 break
-            mid = (lo + hi) >> 1
-            less = open_ & (self._low_at(np.minimum(mid, self.n - 1)) < low)
-            lo = np.where(less, mid + 1, lo)
-            hi = np.where(open_ & ~less, mid, hi)
-        return np.where(inside, lo, self.n)
+            mid = (lo[at] + hi[at]) >> 1
+            less = self._low_at(mid) < low[at]
+            lo[at[less]] = mid[less] + 1
+            hi = hi.copy() if hi is end else hi
+            hi[at[~less]] = mid[~less]
+        same = inside & (lo < end)
+        same[same] = self._low_at(lo[same]) == low[same]
+        return np.where(inside, lo, self.n), same
 
 
 class Quantised:
@@ -167,15 +190,14 @@ class NGramTrie:
 
     def child(self, level: int, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Index at `level` (from 0) of each parent's child with that word; -1 if it has none."""
-        keys, pointers, _, _ = self.levels[level]
-        if not keys.n or not len(parent):
-            return np.full(len(parent), -1, np.int64)
-        safe = np.maximum(parent, 0)
-        want = safe.astype(np.uint64) << np.uint64(self.bits) | np.asarray(word, np.uint64)
-        at = keys.successor(want)
-        end = pointers.get(safe + 1).astype(np.int64)  # the context's range ends here
-        near = np.minimum(at, keys.n - 1)
-        return np.where((parent >= 0) & (at < end) & (keys.get(near) == want), at, -1)
+        keys = self.levels[level][0]
+        want = np.maximum(parent, 0).astype(np.uint64) << np.uint64(self.bits) | np.asarray(word, np.uint64)
+        return np.where(np.asarray(parent) >= 0, keys.index(want), -1)
+
+    def children(self, level: int, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The indices [from, to) at `level` (from 0) of each parent's children: two pointers."""
+        pointers = self.levels[level][1]
+        return pointers.get(parent).astype(np.int64), pointers.get(np.asarray(parent) + 1).astype(np.int64)
 
     def find(self, grams: np.ndarray) -> np.ndarray:
         """Index of each k-gram (rows of words) in level k, or -1."""
