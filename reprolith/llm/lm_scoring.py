@@ -90,30 +90,36 @@ class Chunk:
     """A chunk's tokens as hashes, its distinct words, and its distinct pairs (word, successor's fingerprint)."""
 
     def __init__(self, sizes: list[int], train: list[bool], texts: bytes):
-        at, table, hashes = 0, {}, []
+        at, table = 0, {}
+        order: list[int] = []  # each token's word by first appearance
         lengths = []
-        digest = xxhash.xxh64_intdigest
+        place = table.setdefault
         for size in sizes:
             words = texts[at : at + size].lower().split()
             at += size
             words.append(_END)
             lengths.append(len(words))
-            for w in words:
-                h = table.get(w)
-                if h is None:
-                    h = table[w] = digest(w)
-                hashes.append(h)
-        tokens = np.array(hashes, np.uint64)
+            order += [place(w, len(table)) for w in words]
+        hashes = np.array([xxhash.xxh64_intdigest(w) for w in table], np.uint64)
         self.lengths = np.array(lengths, np.int64)
         self.trains = np.repeat(np.array(train, bool), self.lengths)
-        self.words, self.of = np.unique(tokens, return_inverse=True)
+        by_hash = np.argsort(hashes)
+        self.words = hashes[by_hash]
+        rank = np.empty(len(hashes), np.int64)
+        rank[by_hash] = np.arange(len(hashes))
+        self.of = rank[np.array(order, np.int64)]
+        tokens = self.words[self.of]
         starts = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
-        before = np.empty(len(tokens), np.int64)
-        before[1:] = self.of[:-1]
-        before[starts] = np.searchsorted(self.words, np.uint64(digest(_END)))
-        self.before = before
-        prints = mix64(tokens, 77) >> np.uint64(32)
-        self.pairs, self.pair_of = np.unique(before.astype(np.uint64) << np.uint64(32) | prints, return_inverse=True)
+        self.before = np.empty(len(tokens), np.int64)
+        self.before[1:] = self.of[:-1]
+        self.before[starts] = rank[table[_END]]
+        self.tokens = tokens
+
+    def pair(self) -> Chunk:
+        """Find the distinct pairs, too."""
+        prints = mix64(self.tokens, 77) >> np.uint64(32)
+        self.pairs, self.pair_of = np.unique(self.before.astype(np.uint64) << np.uint64(32) | prints, return_inverse=True)
+        return self
 
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
         """Training counts of the distinct words and pairs."""
@@ -141,11 +147,11 @@ class Chunk:
         return out
 
 
-def _chunks_of(batches: Iterator[pa.RecordBatch], more: int = 0) -> Iterator[tuple]:
+def _chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Chunk]]:
     for b in batches:
         for i in range(b.num_rows):
-            row = [b.column(j)[i] for j in range(5 + more)]
-            yield row[0].as_py(), row[1].as_py(), Chunk(row[3].as_py(), row[2].as_py(), row[4].as_py()), *(x.as_py() for x in row[5:])
+            chunk, train, sizes, texts = (b.column(j)[i].as_py() for j in (0, 2, 3, 4))
+            yield chunk, Chunk(sizes, train, texts)
 
 
 def hot_words(chunks: DataFrame) -> tuple[np.ndarray, int]:
@@ -157,7 +163,7 @@ def hot_words(chunks: DataFrame) -> tuple[np.ndarray, int]:
     schema = pa.schema([("word", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, c in _chunks_of(batches):
+        for _, c in _chunks_of(batches):
             n = np.bincount(c.of)
             at = np.flatnonzero(n > len(c.of) * HOT_SHARE / 4)
             yield batch_of(schema, {"word": [None, *c.words[at].view(np.int64).tolist()], "n": [len(c.of), *n[at].tolist()]})
@@ -172,8 +178,8 @@ def _questions(hot: np.ndarray, shards: int):
     schema = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("question", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, _, c in _chunks_of(batches):
-            words, pairs = c.counts()
+        for chunk, c in _chunks_of(batches):
+            words, pairs = c.pair().counts()
             rows: dict[str, list] = {"shard": [], "chunk": [], "question": []}
             for shard, w, p in c.spans(hot, shards):
                 first = np.searchsorted(c.pairs[p] >> np.uint64(32), w.astype(np.uint64)) if len(p) else np.zeros(len(w), np.int64)
@@ -203,23 +209,24 @@ def answer_shard(shard: int, hot_shard: bool, questions: list[tuple[int, bytes]]
         own = np.repeat(of[at : at + len(w)], np.diff(np.concatenate([first, [len(prints)]]).astype(np.int64)))
         keys.append(own.astype(np.uint64) << np.uint64(32) | prints)
         at += len(w)
-    pairs, pair_of = np.unique(np.concatenate(keys), return_inverse=True)
-    seen = np.bincount(pair_of, np.concatenate([q[4] for _, q in asked]).astype(float), minlength=len(pairs))
-    pairs, seen = pairs[seen > 0], seen[seen > 0]
-    distinct = np.bincount((pairs >> np.uint64(32)).astype(np.int64), minlength=len(words))
+    asked_pairs, pair_of = np.unique(np.concatenate(keys), return_inverse=True)
+    seen = np.bincount(pair_of, np.concatenate([q[4] for _, q in asked]).astype(float), minlength=len(asked_pairs))
+    pairs, seen = asked_pairs[seen > 0], seen[seen > 0]
     # words in order of their hashes are 0, 1, ...: the trie's own ids at level 1
     ids = np.arange(len(words), dtype=np.uint64)
     trie = NGramTrie.build([(ids[:, None], np.log10(np.maximum(counts, 1))), (np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1), np.log10(seen))]).mapped()
-    book, at = trie.levels[1][2], 0
+    first, end = trie.children(1, np.arange(len(words)))
+    distinct = end - first
+    # each distinct pair is searched once, below its context
+    found = trie.child(1, (asked_pairs >> np.uint64(32)).astype(np.int64), asked_pairs & np.uint64(0xFFFFFFFF))
+    all_codes = np.where(found >= 0, trie.levels[1][3][found].astype("<u2") + 1, 0).astype("<u2") if len(pairs) else np.zeros(len(found), "<u2")
+    book, at, upto = trie.levels[1][2], 0, 0
     stats = [-1, int(words[:1].view(np.int64)[0]), int(distinct.sum())] if hot_shard else [int(counts.sum()), int((counts > 0).sum()), int((counts == 1).sum())]
     for (chunk, (w, *_)), key in zip(asked, keys, strict=True):
-        node = of[at : at + len(w)]
-        at += len(w)
-        found = trie.child(1, (key >> np.uint64(32)).astype(np.int64), key & np.uint64(0xFFFFFFFF))
-        codes = trie.levels[1][3][found].astype(np.uint16) + 1 if len(pairs) else np.zeros(len(found), np.uint16)
-        codes[found < 0] = 0
+        node, codes = of[at : at + len(w)], all_codes[pair_of[upto : upto + len(key)]]
+        at, upto = at + len(w), upto + len(key)
         c, t = (np.zeros(0, "<u4"),) * 2 if hot_shard else (counts[node].astype("<u4"), distinct[node].astype("<u4"))
-        yield {"shard": shard, "chunk": chunk, "answer": _pack(c, t, book, codes.astype("<u2")), "stats": stats}
+        yield {"shard": shard, "chunk": chunk, "answer": _pack(c, t, book, codes), "stats": stats}
         stats = None
 
 
@@ -252,7 +259,7 @@ def _score(hot: np.ndarray, hot_t: np.ndarray, shards: int, total: int, distinct
         for b in batches:
             for i in range(b.num_rows):
                 _, ids, train, sizes, texts, answers = (b.column(j)[i].as_py() for j in range(6))
-                c = Chunk(sizes, train, texts)
+                c = Chunk(sizes, train, texts).pair()
                 got = {a["shard"]: a["answer"] for a in answers}
                 n_w, n_t = np.zeros(len(c.words), np.int64), np.zeros(len(c.words), np.int64)
                 after = np.zeros(len(c.pairs))
