@@ -407,3 +407,52 @@ def test_url_filters(spark):
 
 def test_every_operator_is_registered():
     assert sorted({int(n[2:].split("_")[0]) for n in entries.queries()}) == list(range(1, 11))
+
+
+def test_scratch_is_cleaned(spark):
+    import os
+
+    df = common.written(spark.range(3).toDF("x"), "t")
+    path = common._made[-1]
+    assert df.count() == 3 and os.path.isdir(path)
+    assert common.clean_scratch(spark) > 0 and not os.path.exists(path)
+
+
+def _ifd(order, big, tags, at):
+    import struct
+
+    word, count = ("Q", "Q") if big else ("I", "H")
+    out = struct.pack(order + count, len(tags))
+    for tag, kind, value in tags:
+        raw = struct.pack(order + {3: "H", 4: "I"}[kind], value).ljust(8 if big else 4, b"\0")
+        out += struct.pack(order + "HH" + word, tag, kind, 1) + raw
+    return out + struct.pack(order + word, 0)
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+@pytest.mark.parametrize("big", [False, True])
+def test_tiff_floats_with_predictor_and_big_files(order, big):
+    import struct
+
+    x = np.random.default_rng(0).normal(size=(3, 5, 2)).astype(np.float32)
+    lines = []
+    for row in x.astype(">f4"):
+        by_weight = np.frombuffer(row.tobytes(), np.uint8).reshape(10, 4).T.reshape(-1, 2)  # most significant bytes first
+        lines.append(np.concatenate([by_weight[:1], by_weight[1:] - by_weight[:-1]]).tobytes())
+    data = zlib.compress(b"".join(lines))
+    start = 16 if big else 8
+    head = (b"II" if order == "<" else b"MM") + (struct.pack(order + "HHHQ", 43, 8, 0, start + len(data)) if big else struct.pack(order + "HI", 42, start + len(data)))
+    tags = [(256, 3, 5), (257, 3, 3), (258, 3, 32), (259, 3, 8), (273, 4, start), (277, 3, 2), (278, 3, 3), (279, 4, len(data)), (317, 3, 3), (339, 3, 3)]
+    (page,) = tiff.read_pages(head + data + _ifd(order, big, tags, 0))
+    assert (page.pixels == x).all() and page.predictor == 3
+
+
+def test_stages_on_awkward_rows(spark, docs, none):
+    labels = spark.createDataFrame([(5, 1), (3, 0)], "doc_id long, quality int")
+    for stage in (lambda d: quality.keep_good(d, labels), simhash.drop_near_copies, drop_exact_copies, mixing.mixed):
+        out = stage(docs)
+        assert out.columns == docs.columns and out.count() <= 3 * len(rows())
+        assert stage(none).count() == 0
+    kept = simhash.drop_near_copies(docs).collect()
+    assert len({r.text for r in kept}) == len(kept)
+    assert {"one", "Two words", "tie", "no id"} <= {r.text for r in kept}
