@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import WORD_PATTERN, written
 
 #: About the rows of a bucket, in hash order and in time order; buckets at most (their sums meet in one window).
-BUCKET_ROWS, MAX_BUCKETS = 5_000, 1 << 16
+BUCKET_ROWS, MAX_BUCKETS = 1_000, 1 << 16
 MAX_EPOCHS = 3
 
 
