@@ -34,7 +34,7 @@ from .ngram_trie import NGramTrie
 from .token_store import mix64
 
 #: Words of a chunk, and tokens for each shard, about: what a task holds at a time.
-CHUNK_WORDS, SHARD_TOKENS = 600_000, 1_500_000
+CHUNK_WORDS, SHARD_TOKENS = 600_000, 500_000
 HOT_SHARE, HOT_PARTS = 0.002, 16
 _END = b""  # no word is empty
 
