@@ -1,11 +1,11 @@
-"""SimHash near-duplicates by binary trie self-join.
+"""SimHash near-duplicates by binary trie self-join, and near copies by similarity of shingle sets.
 
 Fingerprints are made in one pass over whole texts. Distinct fingerprints, not documents, are
 joined. They meet in partitions by keys that any linked pair shares:
 
 - within 3 bits of 64: two of five blocks are equal (at most three of the five can differ), so the
   ten pairs of blocks are keys; exact;
-- for many bits over long fingerprints (`sketch`): triples of min-hashes of the shingles. A pair of
+- for similarity (`sketch`): triples of min-hashes of the distinct shingles. A pair of
   similarity s shares one of m with probability 1 - (1 - s^3)^m, 0.9998 at s = 0.8 and m = 12; documents
   that have but a passage in common, a fifth of their shingles, share a given one with probability 0.008,
   so a passage that many documents share doesn't bring them all together.
@@ -14,6 +14,10 @@ Within a key's fingerprints, `trie_join.spanning_links` walks pairs of trie node
 connects. A key with more than MAX_GROUP fingerprints is split in parts, each pair of which is a
 task of its own. Links go through `connected_components`; documents find their component by their
 fingerprint.
+
+By similarity, a fingerprint is of the distinct shingles and only prunes: what the trie connects within
+a loose budget are groups of candidates. Equal groups of several keys are one. The texts of a group's
+members meet in one task, and those of similarity enough, counted on whole shingle sets, are linked.
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ from .trie_join import spanning_links
 MAX_GROUP = 50_000
 #: Fingerprints that a task joins at a time.
 FLUSH = 200_000
+#: Candidates whose texts meet in one task; larger groups are split.
+MAX_TEXTS = 1_000
 _CHUNK = 255 * 64
 
 
@@ -87,31 +93,52 @@ def sketch_keys(chunks: list[np.ndarray], n: int) -> list[int]:
     return keys.view(np.int64).tolist()
 
 
+def shingle_set(content: bytes, k: int) -> np.ndarray:
+    """The distinct hashes of the k-word shingles, sorted."""
+    chunks = list(shingle_hashes(content, k))
+    return np.unique(np.concatenate(chunks)) if chunks else np.zeros(0, np.uint64)
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, sketch: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, th, fp, keys): fingerprint bytes of each row, and `sketch` keys of its shingles if asked for.
+    """(doc_id, th, fp, keys, node): fingerprint bytes of each row.
 
-    `th` is a hash of the text, which tells rows with one id apart.
+    `th` is a hash of the text, which tells rows with one id apart. With `sketch`, the fingerprint is of
+    the distinct shingles, `keys` are that many of theirs, and `node` is a hash of their set.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("fp", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("fp", pa.binary()), ("keys", pa.list_(pa.int64())), ("node", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, keys = [], []
+            fps, keys, nodes = [], [], []
             for content in b.column(2).to_pylist():
-                chunks = list(shingle_hashes(content, shingle)) if sketch else shingle_hashes(content, shingle)
+                if sketch:
+                    h = shingle_set(content, shingle)
+                    chunks = [h[i : i + _CHUNK] for i in range(0, len(h), _CHUNK)]
+                    nodes.append(_signed(xxhash.xxh64_intdigest(h.tobytes())))
+                else:
+                    chunks = shingle_hashes(content, shingle)
+                    nodes.append(None)
                 fps.append(fingerprint(iter(chunks), words))
-                keys.append(sketch_keys(chunks, sketch))
-            yield batch_of(schema, {"doc_id": b.column(0), "th": b.column(1), "fp": fps, "keys": keys})
+                keys.append(sketch_keys(chunks, sketch) if sketch else [])
+            yield batch_of(schema, {"doc_id": b.column(0), "th": b.column(1), "fp": fps, "keys": keys, "node": nodes})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("th"), text_bytes(text_col).alias("content"))
-    return rows.mapInArrow(run, "doc_id long, th long, fp binary, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, th long, fp binary, keys array<long>, node long")
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_MEMBERS = pa.schema([("key", pa.int64()), ("node", pa.int64())])
+
 
+def _join_task(budget: int, members: bool = False):
+    """Groups arrive sorted by (key, part, part); whole groups are joined, several at a time.
 
-def _join_task(budget: int):
-    """Groups arrive sorted by (key, part, part); whole groups are joined, several at a time."""
+    Gives links (a, b), or with `members` what they connect: (key, node), the key a hash of all its nodes.
+    """
 
     def links(group: np.ndarray, node: np.ndarray, raw: list[bytes]) -> pa.RecordBatch | None:
         again = np.concatenate([[False], group[1:] == group[:-1]])
@@ -121,13 +148,36 @@ def _join_task(budget: int):
             return None
         rows = np.frombuffer(b"".join([raw[i] for i in at.tolist()]), ">u8").reshape(len(at), -1).astype(np.uint64)
         new = np.concatenate([[True], (group[at[1:]] != group[at[:-1]]) | (rows[1:] != rows[:-1]).any(1)])
-        rows, at = rows[new], at[new]  # equal fingerprints are one node
+        whole = at
+        rows, at = rows[new], at[new]  # equal fingerprints are one leaf
         found = spanning_links(rows, group[at], budget)
+        if members:
+            parent = list(range(len(at)))
+            for x, y in found:
+                while parent[x] != x:
+                    x = parent[x]
+                while parent[y] != y:
+                    y = parent[y]
+                parent[max(x, y)] = min(x, y)
+            for i in range(len(parent)):  # parents come before their children
+                parent[i] = parent[parent[i]]
+            return together(np.array(parent)[np.cumsum(new) - 1], node[whole])
         if not found:
             return None
         a, b = np.array(found).T
         return batch_of(_LINKS, {"a": node[at[a]], "b": node[at[b]]})
 
+    def together(root: np.ndarray, node: np.ndarray) -> pa.RecordBatch | None:
+        order = np.lexsort((node, root))
+        root, node = root[order], node[order]
+        keys, nodes = [], []
+        for some in np.split(node, np.flatnonzero(root[1:] != root[:-1]) + 1):
+            some = np.unique(some)
+            if len(some) > 1:
+                keys.append(np.full(len(some), _signed(xxhash.xxh64_intdigest(some.tobytes())), np.int64))
+                nodes.append(some)
+        return batch_of(_MEMBERS, {"key": np.concatenate(keys), "node": np.concatenate(nodes)}) if keys else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, list[bytes]]] = []
         count = 0
@@ -155,66 +205,141 @@ def _join_task(budget: int):
     return run
 
 
+def _dealt(keyed: DataFrame, max_group: int) -> DataFrame:
+    """`keyed` (key, node, ...) with `g`: its key, or, where more than `max_group` nodes share it, each pair of parts with its own."""
+    counts = keyed.groupBy("key").agg(F.count("*").alias("c"))
+    hot = written(counts.filter(F.col("c") > max_group), "hot-keys")
+    if hot.isEmpty():
+        return keyed.withColumn("g", F.col("key"))
+    k = F.coalesce(F.ceil(F.col("c") / max_group), F.lit(1)).cast("int")
+    parts = keyed.join(hot, "key", "left").withColumn("k", k).withColumn("s", F.pmod(F.xxhash64("node", F.lit(3)), F.col("k")))
+    parts = parts.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    return parts.withColumn("g", F.when(F.col("k") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("s", "j"), F.greatest("s", "j"))))
+
+
+def _by_keys(nodes: DataFrame, max_group: int) -> DataFrame:
+    keyed = nodes.select("node", "fp", F.explode(F.array_distinct("keys")).alias("key"))
+    return _dealt(keyed, max_group).select("g", "node", "fp").repartition("g").sortWithinPartitions("g", "fp")
+
+
 def fingerprint_links(nodes: DataFrame, budget: int, max_group: int = MAX_GROUP) -> DataFrame:
     """Links (a, b) between nodes (node, fp, keys) that share a key and lie within `budget` bits.
 
     What connects, not all pairs. Keys shared by more than `max_group` nodes are split in parts:
     a node goes to every pair of parts that has its own.
     """
-    keyed = nodes.select("node", "fp", F.explode(F.array_distinct("keys")).alias("key"))
-    counts = keyed.groupBy("key").agg(F.count("*").alias("c"))
-    hot = written(counts.filter(F.col("c") > max_group), "hot-keys")
-    if hot.isEmpty():
-        parts = keyed.withColumn("g", F.col("key"))
-    else:
-        k = F.coalesce(F.ceil(F.col("c") / max_group), F.lit(1)).cast("int")
-        parts = keyed.join(hot, "key", "left").withColumn("k", k).withColumn("s", F.pmod(F.xxhash64("node", F.lit(3)), F.col("k")))
-        parts = parts.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        parts = parts.withColumn("g", F.when(F.col("k") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("s", "j"), F.greatest("s", "j"))))
-    dealt = parts.select("g", "node", "fp").repartition("g").sortWithinPartitions("g", "fp")
-    return dealt.mapInArrow(_join_task(budget), "a long, b long")
+    return _by_keys(nodes, max_group).mapInArrow(_join_task(budget), "a long, b long")
 
 
-def simhash_components(docs: DataFrame, shingle: int = 3, words: int = 1, budget: int = 3, sketch: int = 0, id_col: str = "doc_id", text_col: str = "text", max_group: int = MAX_GROUP) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, th, fp, node) of every row, and (node, component_id) of every distinct fingerprint."""
-    if not sketch and (words, budget) > (1, 3):
-        raise ValueError("without min-hash keys, links are exact within 3 bits of 64 only")
-    rows = fingerprints(docs, shingle, words, sketch, id_col, text_col)
-    number = F.conv(F.hex("fp"), 16, -10).cast("long") if words == 1 else F.xxhash64("fp")
-    rows = written(rows.withColumn("node", number), "fingerprints")
-    if sketch:  # rows of one fingerprint may have different min-hashes
-        nodes = rows.groupBy("node", "fp", "keys").agg(F.min("doc_id").alias("least")).select("node", "fp", "keys", "least")
-    else:
-        nodes = rows.groupBy("node", "fp").agg(F.min("doc_id").alias("least")).withColumn("keys", block_keys(F.col("node")))
-    nodes = written(nodes, "nodes")
-    roots = connected_components(fingerprint_links(nodes, budget, max_group))
+def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have that Jaccard similarity."""
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared >= similarity * (len(both) - shared) - 1e-9
+
+
+def similar_pairs(sets: list[np.ndarray], fps: np.ndarray, budget: int, similarity: float) -> list[tuple[int, int]]:
+    """Index pairs that connect sets as all pairs of that similarity (and within `budget` bits) would."""
+    size, label = np.array([len(x) for x in sets]), np.arange(len(sets))
+    links = []
+    for i in range(len(sets) - 1):
+        fits = (label[i + 1 :] != label[i]) & (np.minimum(size[i], size[i + 1 :]) >= similarity * np.maximum(size[i], size[i + 1 :]) - 1e-9)
+        at = np.flatnonzero(fits) + i + 1
+        at = at[np.bitwise_count(fps[at] ^ fps[i]).sum(1, dtype=np.int64) <= budget]
+        for j in at.tolist():
+            if label[i] != label[j] and _similar(sets[i], sets[j], similarity):
+                label[label == label[j]] = label[i]
+                links.append((i, j))
+    return links
+
+
+def _compare_task(shingle: int, budget: int, similarity: float):
+    """(g, node, fp, content) arrive sorted by g; the members of a group are compared by their shingle sets."""
+
+    def links(held: dict[int, tuple[bytes, np.ndarray]]) -> pa.RecordBatch | None:
+        fps = np.frombuffer(b"".join(fp for fp, _ in held.values()), np.uint64).reshape(len(held), -1)
+        found = similar_pairs([x for _, x in held.values()], fps, budget, similarity)
+        if not found:
+            return None
+        a, b = np.array(list(held), np.int64)[np.array(found).T]
+        return batch_of(_LINKS, {"a": a, "b": b})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[bytes, np.ndarray]] = {}
+        now = None
+        for batch in batches:
+            for g, node, fp, content in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if g != now:
+                    if len(held) > 1 and (out := links(held)) is not None:
+                        yield out
+                    held, now = {}, g
+                if node not in held:  # rows alike come each
+                    held[node] = (fp, shingle_set(content, shingle))
+        if len(held) > 1 and (out := links(held)) is not None:
+            yield out
+
+    return run
+
+
+def _rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component_id) of nodes (node, least) by links."""
+    roots = connected_components(links)
     of = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     of = written(of, "roots")
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows, of.select("node", "root").distinct().join(least, "root").select("node", "component_id")
+    return of.select("node", "root").distinct().join(least, "root").select("node", "component_id")
+
+
+def simhash_components(docs: DataFrame, shingle: int = 3, words: int = 1, budget: int = 3, id_col: str = "doc_id", text_col: str = "text", max_group: int = MAX_GROUP) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th, fp, node) of every row, and (node, component_id) of every distinct fingerprint."""
+    if (words, budget) > (1, 3):
+        raise ValueError("links are exact within 3 bits of 64 only")
+    rows = fingerprints(docs, shingle, words, 0, id_col, text_col)
+    rows = written(rows.withColumn("node", F.conv(F.hex("fp"), 16, -10).cast("long")), "fingerprints")
+    nodes = rows.groupBy("node", "fp").agg(F.min("doc_id").alias("least")).withColumn("keys", block_keys(F.col("node")))
+    nodes = written(nodes, "nodes")
+    return rows, _rooted(nodes, fingerprint_links(nodes, budget, max_group))
+
+
+def similar_components(docs: DataFrame, shingle: int, words: int, budget: int, sketch: int, similarity: float, id_col: str = "doc_id", text_col: str = "text", max_group: int = MAX_GROUP, max_texts: int = MAX_TEXTS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th, node) of every row, and (node, component_id) of every distinct set of shingles.
+
+    Sets are linked at Jaccard similarity `similarity`, counted on the whole sets.
+    """
+    rows = written(fingerprints(docs, shingle, words, sketch, id_col, text_col), "fingerprints")
+    nodes = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("one"))
+    nodes = written(nodes, "nodes")
+    groups = written(_by_keys(nodes, max_group).mapInArrow(_join_task(budget, True), "key long, node long").distinct(), "candidates")
+    asked = groups.select("node").distinct().join(nodes, "node").select("node", "fp", F.col("one.doc_id").alias("__id"), F.col("one.th").alias("__th"))
+    texts = docs.select(F.col(id_col).cast("long").alias("__i"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("__t"), text_bytes(text_col).alias("content"))
+    texts = texts.join(asked, F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__th"))).select("node", "fp", "content")
+    met = _dealt(groups, max_texts).select("g", "node").join(texts, "node").select("g", "node", "fp", "content")
+    links = met.repartition("g").sortWithinPartitions("g").mapInArrow(_compare_task(shingle, budget, similarity), "a long, b long")
+    return rows, _rooted(nodes, links)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, budget: int = 3, sketch: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, budget: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, fingerprint (hex), component_id.
 
     Fingerprints within `budget` bits are linked; a component's id is the least doc_id in it. A null
     text is an empty one, of fingerprint zero, linked like any other. Repeated rows are listed each.
     Null ids are no component's least id unless it has no other. Empty in, empty out.
     """
-    rows, of = simhash_components(docs, shingle, words, budget, sketch, id_col, text_col)
+    rows, of = simhash_components(docs, shingle, words, budget, id_col, text_col)
     return rows.join(of, "node").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-#: The pipeline's setting: five words, 512 bits of which 88 may differ (similarity 0.8 differs in 78).
-SIMILAR = {"shingle": 5, "words": 8, "budget": 88, "sketch": 12}
+#: The pipeline's setting: five words, similarity 0.8. Of 512 bits, sets of that similarity differ in 78 in the
+#: mean, with a deviation of 8, and the smallest ones (4 of 5 shingles) in 96: 144 prunes none of them.
+SIMILAR = {"shingle": 5, "words": 8, "budget": 144, "sketch": 12, "similarity": 0.8}
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **setting: int) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **setting: float) -> DataFrame:
     """The rows of `docs`, all columns, with one row of each component: that of the least id.
 
     Of rows with one id, that of the least text hash stays; rows alike in both are one.
     """
-    rows, of = simhash_components(docs, id_col=id_col, text_col=text_col, **(SIMILAR | setting))
+    rows, of = similar_components(docs, id_col=id_col, text_col=text_col, **(SIMILAR | setting))
     stay = rows.join(of, "node").groupBy("component_id").agg(F.min(F.struct("doc_id", "th")).alias("k"), F.count("*").alias("c"))
     stay = stay.select(F.col("k.doc_id").alias("__id"), F.col("k.th").alias("__th"))
     th = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))

@@ -254,6 +254,30 @@ def test_simhash_links_by_split_keys(spark):
         assert [roots.get(v, v) for v in sorted(values)] == want
 
 
+def test_near_copies_by_similarity_of_distinct_shingles(spark):
+    rng = np.random.default_rng(5)
+    w = lambda n: [f"v{i}" for i in rng.integers(0, 10**6, n)]
+    data = []
+    for times in (10, 20, 40):  # one line, once or many times: near copies
+        base, line = w(300), w(12)
+        data += [base + line, base + line * times]
+    for times in (10, 30):  # a long line that both repeat: different texts
+        line = w(40)
+        data += [w(40) + line * times, w(40) + line * times]
+    for n in (8, 40, 300):  # from well below 0.8 to 1
+        for share in range(60, 101, 2):
+            base = w(n + 4)
+            cut = round(n * share / 100)
+            data += [base, base[: cut + 4] + w((n - cut) // 3)]
+    sets = [{" ".join(x[j : j + 5]) for j in range(len(x) - 4)} for x in data]
+    near = [5 * len(a & b) >= 4 * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert near[:5] == [True] * 3 + [False] * 2 and 15 < sum(near) < len(near) - 15
+    df = spark.createDataFrame([(i, " ".join(x), "en", "s", 0, "", 0, "") for i, x in enumerate(data)], SCHEMA).repartition(3)
+    want = {i for i in range(len(data)) if i % 2 == 0 or not near[i // 2]}
+    for limits in ({}, {"max_group": 2, "max_texts": 1}):
+        assert {r.doc_id for r in simhash.drop_near_copies(df, **limits).collect()} == want
+
+
 def test_near_copies_keep_one_of_each(spark):
     rng = np.random.default_rng(0)
     vocabulary = [f"w{i}" for i in range(5000)]
