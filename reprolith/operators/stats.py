@@ -252,37 +252,52 @@ def signed_rank(before: np.ndarray, after: np.ndarray) -> dict:
     if len(before) < 3:
         return {"w": None, "p": None, "significant": None}
     d = after - before
-    zeros = (d == 0).any()
-    d = d[d != 0]
-    if not len(d):
-        return {"w": 0.0, "p": 1.0, "significant": False}
-    size = np.round(np.abs(d), 12)
+    size = np.round(np.abs(d[d != 0]), 12)
     values, of, n = np.unique(size, return_inverse=True, return_counts=True)
     ranks = (np.cumsum(n) - (n - 1) / 2)[of]
-    w = float(ranks[d > 0].sum())
-    m = len(d)
-    if m <= 50 and (n == 1).all() and not zeros:
+    w = float(ranks[d[d != 0] > 0].sum())
+    p = _signed_rank_p(w, len(size), float((n**3 - n).sum()), bool((d == 0).any()))
+    return {"w": w, "p": p, "significant": p < 0.05}
+
+
+def _signed_rank_p(w: float, m: int, ties: float, zeros: bool) -> float:
+    """One-sided p of rank sum `w` of `m` differences; `ties` is the sum of t^3 - t over equal sizes."""
+    if not m:
+        return 1.0
+    if m <= 50 and not ties and not zeros:
         ways = np.zeros(m * (m + 1) // 2 + 1)
         ways[0] = 1
         for k in range(1, m + 1):
             ways[k:] = ways[k:] + ways[:-k]
-        p = float(ways[int(w) :].sum() / 2.0**m)
-    else:
-        sd = math.sqrt(m * (m + 1) * (2 * m + 1) / 24 - (n**3 - n).sum() / 48)
-        p = 0.5 * math.erfc((w - m * (m + 1) / 4 - 0.5) / sd / math.sqrt(2))
-    return {"w": w, "p": p, "significant": p < 0.05}
+        return float(ways[int(w) :].sum() / 2.0**m)
+    sd = math.sqrt(m * (m + 1) * (2 * m + 1) / 24 - ties / 48)
+    return 0.5 * math.erfc((w - m * (m + 1) / 4 - 0.5) / sd / math.sqrt(2))
 
 
 def wilcoxon(df: DataFrame, group: Sequence[str], before: str, after: str) -> DataFrame:
-    """T14 by group, with median and mean improvement."""
-
-    def of(frame: pd.DataFrame) -> dict:
-        f = frame.dropna(subset=[before, after])
-        a, b = f[before].to_numpy(float), f[after].to_numpy(float)
-        gain = b - a
-        return signed_rank(a, b) | {"median_gain": float(np.median(gain)) if len(gain) else None, "mean_gain": float(gain.mean()) if len(gain) else None}
-
-    return _per_group(df, group, "w double, p double, significant boolean, median_gain double, mean_gain double", of)
+    """T14 by group, with median and mean improvement; ranks and median come from counts of distinct differences."""
+    keys = list(group)
+    a, b = F.col(before).cast("double"), F.col(after).cast("double")
+    pairs = df.withColumn("__d", F.when(~F.isnan(a) & ~F.isnan(b), b - a))
+    c = pairs.groupBy(*keys, F.col("__d").alias("d")).agg(F.count("__d").alias("n"))
+    upto = Window.partitionBy(*keys).orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
+    c = c.withColumns({"upto": F.sum("n").over(upto), "whole": F.sum("n").over(Window.partitionBy(*keys))})
+    middle = lambda k: F.max(F.when((F.col("n") > 0) & (F.col("upto") - F.col("n") < k) & (F.col("upto") >= k), F.col("d")))
+    sums = c.groupBy(*keys).agg(
+        F.max("whole").alias("n"), F.coalesce(F.sum(F.when(F.col("d") == 0, F.col("n"))), F.lit(0)).alias("zeros"), F.try_divide(F.sum(F.col("d") * F.col("n")), F.sum("n")).alias("mean_gain"),
+        ((middle(F.floor((F.col("whole") + 1) / 2)) + middle(F.floor(F.col("whole") / 2) + 1)) / 2).alias("median_gain"),
+    )
+    sizes = c.filter("d <> 0").groupBy(*keys, F.round(F.abs("d"), 12).alias("v")).agg(F.sum("n").alias("t"), F.sum(F.when(F.col("d") > 0, F.col("n")).otherwise(0)).alias("up"))
+    rank = F.sum("t").over(Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) - (F.col("t") - 1) / 2
+    t = F.col("t").cast("double")
+    ranked = sizes.withColumn("r", rank).groupBy(*keys).agg(F.sum(F.col("up") * F.col("r")).alias("w"), F.sum("t").alias("m"), F.sum(t * t * t - t).alias("ties"))
+    on = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in keys] or [F.lit(True)]
+    out = sums.alias("x").join(ranked.alias("y"), on, "left")
+    out = out.select(*(F.col(f"x.{k}").alias(k) for k in keys), "n", "zeros", F.coalesce("w", F.lit(0.0)).alias("w"), F.coalesce("m", F.lit(0)).alias("m"), F.coalesce("ties", F.lit(0.0)).alias("ties"), "median_gain", "mean_gain")
+    p = F.pandas_udf(lambda w, m, ties, zeros: pd.Series([_signed_rank_p(*x) for x in zip(w, m, ties, zeros > 0, strict=True)], dtype=float), "double")
+    enough = F.col("n") >= 3
+    out = out.withColumns({"w": F.when(enough, F.col("w")), "p": F.when(enough, p("w", "m", "ties", "zeros"))})
+    return out.select(*keys, "w", "p", (F.col("p") < 0.05).alias("significant"), "median_gain", "mean_gain")
 
 
 def shapiro_wilk(x: np.ndarray) -> tuple[float, float]:

@@ -54,6 +54,37 @@ def test_wilcoxon():
         T.signed_rank(x, x[:3])
 
 
+def test_wilcoxon_of_every_customer(spark, tmp_path):
+    from reprolith.plans.stat_queries import QUERIES
+
+    rng = np.random.default_rng(3)
+    orders = [(c, float(x)) for c in range(600) for x in rng.integers(1, 40, rng.integers(1, 4))]
+    orders += [(1000, 5.0), (1000, 7.0)]
+    spark.createDataFrame(orders, "o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.g: r for r in QUERIES["t14_wilcoxon"][0](spark, str(tmp_path)).collect()}
+    of = {}
+    for c, x in orders:
+        of.setdefault(c, []).append(x)
+    assert set(got) == set(range(5))
+    for g, r in got.items():
+        b, a = (np.array([f(v) for c, v in of.items() if c % 5 == g]) for f in (np.mean, max))
+        want = T.signed_rank(b, a)
+        assert r.w == pytest.approx(want["w"]) and r.p == pytest.approx(want["p"]) and r.significant == want["significant"]
+        assert r.median_gain == pytest.approx(np.median(a - b)) and r.mean_gain == pytest.approx((a - b).mean())
+
+
+def test_wilcoxon_groups_are_signed_ranks(spark):
+    rng = np.random.default_rng(4)
+    data = {"exact": rng.normal(1, 2, (12, 2)), "ties": rng.integers(0, 4, (60, 2)) * 1.0, "same": np.ones((5, 2)), "few": np.ones((2, 2)), "down": np.array([[3.0, 1], [4, 1], [7, 2], [9, 1]])}
+    rows = [(g, float(b), float(a)) for g, x in data.items() for b, a in x] + [("ties", None, 1.0), ("none", None, 2.0)]
+    got = {r.g: r for r in T.wilcoxon(spark.createDataFrame(rows, "g string, b double, a double"), ["g"], "b", "a").collect()}
+    assert got["none"].p is None and got["none"].median_gain is None and got["few"].p is None
+    for g, x in data.items():
+        want = T.signed_rank(x[:, 0], x[:, 1])
+        assert (got[g].w, got[g].p) == (pytest.approx(want["w"]), pytest.approx(want["p"])) if len(x) > 2 else got[g].w is None
+        assert got[g].median_gain == pytest.approx(np.median(x[:, 1] - x[:, 0]))
+
+
 def test_shapiro_wilk():
     # Shapiro and Wilk's (1965) weights of men: W = 0.79 there
     w, p = T.shapiro_wilk([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236])
