@@ -230,7 +230,8 @@ def bca(df: DataFrame, group: Sequence[str], value: str, resamples: int = 1000,
         if len(x) < 2 or x[0] == x[-1]:
             m = float(x.mean()) if len(x) else float("nan")
             return {"bca_low": m, "bca_high": m}
-        means = np.random.default_rng(seed).choice(x, (resamples, len(x))).mean(1)
+        rng = np.random.default_rng(seed)
+        means = np.array([rng.choice(x, len(x)).mean() for _ in range(resamples)])
         share = ((means < x.mean()).mean() + (means <= x.mean()).mean()) / 2
         z0 = normal_quantile(min(max(share, 1 / (2 * resamples)), 1 - 1 / (2 * resamples)))
         jack = (x.sum() - x) / (len(x) - 1)

@@ -118,3 +118,15 @@ def test_intervals_hold_the_mean(spark):
     b, c = T.bootstrap(df, ["g"], "x", "i").first(), T.bca(df, ["g"], "x").first()
     assert b.ci_low < mean < b.ci_high and c.bca_low < mean < c.bca_high
     assert abs(b.ci_low - c.bca_low) < 0.4 and abs(b.ci_high - c.bca_high) < 0.4
+
+
+def test_bca_query_draws_a_thousand_resamples(spark, tmp_path):
+    from reprolith.plans.stat_queries import QUERIES
+
+    rng = np.random.default_rng(6)
+    docs = spark.createDataFrame([(lang, int(x)) for lang in ("de", "en") for x in rng.integers(1, 900, 60)], "lang string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    x = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumn("x", F.col("n_chars").cast("double"))
+    ends = lambda df: sorted((r.lang, r.bca_low, r.bca_high) for r in df.collect())
+    got = ends(QUERIES["t3_bca"][0](spark, str(tmp_path)))
+    assert got == ends(T.bca(x, ["lang"], "x", resamples=1000)) and got != ends(T.bca(x, ["lang"], "x", resamples=200))
