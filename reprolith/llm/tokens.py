@@ -1,8 +1,8 @@
 """Exact tokenisation for the public vocabularies.
 
 Byte-level BPE (``BytePairEncoder``). Where the vocabulary's rank file lies beside the library's
-file, an equal encoder over the same vocabulary does the work; a text that holds the special string
-goes to the library itself.
+file, an equal encoder over the same vocabulary does the work; a text that holds the special string,
+or a long run of white space, goes to the library itself.
 
 Piece BPE (``PieceCounter``). No vocabulary string of the model has the space mark after another
 character (`prove_split` checks that over the whole vocabulary), so no merge can cross from a
@@ -23,6 +23,14 @@ CACHE = 200_000
 #: Longer pre-tokens are not kept.
 CACHED_CHARS = 48
 SPECIAL = "<|endoftext|>"
+#: White space in a row costs the fast encoder its square, and beyond about a million characters its stack.
+LONG_BLANK = 256
+_LONG_BLANK, _TWO_BLANK = re.compile(rf"\s{{{LONG_BLANK}}}"), re.compile(r"\s\s")
+
+
+def has_long_blank(text: str) -> bool:
+    """Whether LONG_BLANK characters of white space are in a row; two of any samples half that apart would fall into them."""
+    return bool(_TWO_BLANK.search(text[:: LONG_BLANK // 2]) and _LONG_BLANK.search(text))
 
 
 def public_path(name: str) -> str:
@@ -56,7 +64,7 @@ class BytePairEncoder:
 
     def encode(self, text: str) -> array.array:
         """The whole text's ids, unsigned 16-bit."""
-        if self._ranked is None or SPECIAL in text:
+        if self._ranked is None or SPECIAL in text or has_long_blank(text):
             return array.array("H", self.library.encode(text, add_special_tokens=False).ids)
         return array.array("H", self._ranked(text))
 

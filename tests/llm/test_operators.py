@@ -91,6 +91,34 @@ def test_whole_tokens_are_proved():
     assert not tokens.PieceCounter.prove_split(["▁a", "a▁b"])
 
 
+LONG = {
+    "spaces": " " * 2_000_000,
+    "lines": "\n" * 1_200_000,
+    "wide": "\u3000" * 1_200_000,
+    "mixed": "x \t\u3000\n" * 100_000 + " \r\n" * 400_000 + "end",
+    "word": "abcde" * 1_000_000,
+    "runs": ("x" + " " * (tokens.LONG_BLANK - 1)) * 4_000,
+    "prose": "It was a long day, and no one came. " * 60_000,
+}
+
+
+@pytest.mark.parametrize("kind", LONG)
+def test_tokens_of_very_long_texts(kind):
+    """The library's ids and counts, whatever encoder does the work."""
+    import sentencepiece
+
+    e, t = tokens.byte_encoder(tokens.public_path("byte_bpe_50k.json")), LONG[kind]
+    assert e.encode(t).tolist() == e.library.encode(t, add_special_tokens=False).ids
+    model = tokens.public_path("piece_bpe_32k.model")
+    assert tokens.piece_counter(model).count(t) == len(sentencepiece.SentencePieceProcessor(model_file=model).encode(t))
+
+
+def test_long_blanks_are_found():
+    for n in range(tokens.LONG_BLANK - 3, tokens.LONG_BLANK + 4):
+        for at in range(0, 300, 7):
+            assert tokens.has_long_blank("x" * at + " \n" * (n // 2) + " " * (n % 2) + "y z") == (n >= tokens.LONG_BLANK)
+
+
 def test_packing(docs, none):
     lib = tokens.byte_encoder(tokens.public_path("byte_bpe_50k.json")).library
     ids = {text(r): [*lib.encode(text(r), add_special_tokens=False).ids, 2] for r in rows()}
