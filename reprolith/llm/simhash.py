@@ -40,8 +40,10 @@ from .trie_join import spanning_links
 MAX_GROUP = 50_000
 #: Fingerprints that a task joins at a time.
 FLUSH = 200_000
-#: Candidates whose texts meet in one task; larger groups are split.
-MAX_TEXTS = 1_000
+#: Candidates, and distinct shingles of theirs, that meet in one task; larger groups are split.
+MAX_TEXTS, MAX_SHINGLES = 4_000, 4_000_000
+#: Postings that are counted at a time.
+_POSTINGS = 1 << 21
 _CHUNK = 255 * 64
 
 
@@ -100,30 +102,32 @@ def shingle_set(content: bytes, k: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, sketch: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, th, fp, keys, node): fingerprint bytes of each row.
+    """(doc_id, th, fp, keys, node, size): fingerprint bytes of each row.
 
     `th` is a hash of the text, which tells rows with one id apart. With `sketch`, the fingerprint is of
-    the distinct shingles, `keys` are that many of theirs, and `node` is a hash of their set.
+    the distinct shingles, `keys` are that many of theirs, `size` is their number, and `node` is a hash of their set.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("fp", pa.binary()), ("keys", pa.list_(pa.int64())), ("node", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("fp", pa.binary()), ("keys", pa.list_(pa.int64())), ("node", pa.int64()), ("size", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, keys, nodes = [], [], []
+            fps, keys, nodes, sizes = [], [], [], []
             for content in b.column(2).to_pylist():
                 if sketch:
                     h = shingle_set(content, shingle)
                     chunks = [h[i : i + _CHUNK] for i in range(0, len(h), _CHUNK)]
                     nodes.append(_signed(xxhash.xxh64_intdigest(h.tobytes())))
+                    sizes.append(len(h))
                 else:
                     chunks = shingle_hashes(content, shingle)
                     nodes.append(None)
+                    sizes.append(None)
                 fps.append(fingerprint(iter(chunks), words))
                 keys.append(sketch_keys(chunks, sketch) if sketch else [])
-            yield batch_of(schema, {"doc_id": b.column(0), "th": b.column(1), "fp": fps, "keys": keys, "node": nodes})
+            yield batch_of(schema, {"doc_id": b.column(0), "th": b.column(1), "fp": fps, "keys": keys, "node": nodes, "size": sizes})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("th"), text_bytes(text_col).alias("content"))
-    return rows.mapInArrow(run, "doc_id long, th long, fp binary, keys array<long>, node long")
+    return rows.mapInArrow(run, "doc_id long, th long, fp binary, keys array<long>, node long, size long")
 
 
 def _signed(x: int) -> int:
@@ -205,21 +209,23 @@ def _join_task(budget: int, members: bool = False):
     return run
 
 
-def _dealt(keyed: DataFrame, max_group: int) -> DataFrame:
-    """`keyed` (key, node, ...) with `g`: its key, or, where more than `max_group` nodes share it, each pair of parts with its own."""
-    counts = keyed.groupBy("key").agg(F.count("*").alias("c"))
-    hot = written(counts.filter(F.col("c") > max_group), "hot-keys")
+def _dealt(keyed: DataFrame, parts: Column) -> DataFrame:
+    """`keyed` (key, node, ...) with `g`: its key, or, where a key has several `parts`, each pair of parts with its own.
+
+    `side` is null where all of a `g` are to be compared, and tells the two parts of a pair apart. `parts` is an aggregate.
+    """
+    hot = written(keyed.groupBy("key").agg(parts.cast("int").alias("k")).filter("k > 1"), "hot-keys")
     if hot.isEmpty():
-        return keyed.withColumn("g", F.col("key"))
-    k = F.coalesce(F.ceil(F.col("c") / max_group), F.lit(1)).cast("int")
-    parts = keyed.join(hot, "key", "left").withColumn("k", k).withColumn("s", F.pmod(F.xxhash64("node", F.lit(3)), F.col("k")))
-    parts = parts.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    return parts.withColumn("g", F.when(F.col("k") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("s", "j"), F.greatest("s", "j"))))
+        return keyed.withColumns({"g": F.col("key"), "side": F.lit(None).cast("int")})
+    out = keyed.join(hot, "key", "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("s", F.pmod(F.xxhash64("node", F.lit(3)), F.col("k")))
+    out = out.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    g = F.when(F.col("k") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("s", "j"), F.greatest("s", "j")))
+    return out.withColumns({"g": g, "side": F.when(F.col("s") != F.col("j"), (F.col("s") > F.col("j")).cast("int"))})
 
 
 def _by_keys(nodes: DataFrame, max_group: int) -> DataFrame:
     keyed = nodes.select("node", "fp", F.explode(F.array_distinct("keys")).alias("key"))
-    return _dealt(keyed, max_group).select("g", "node", "fp").repartition("g").sortWithinPartitions("g", "fp")
+    return _dealt(keyed, F.ceil(F.count("*") / max_group)).select("g", "node", "fp").repartition("g").sortWithinPartitions("g", "fp")
 
 
 def fingerprint_links(nodes: DataFrame, budget: int, max_group: int = MAX_GROUP) -> DataFrame:
@@ -231,50 +237,61 @@ def fingerprint_links(nodes: DataFrame, budget: int, max_group: int = MAX_GROUP)
     return _by_keys(nodes, max_group).mapInArrow(_join_task(budget), "a long, b long")
 
 
-def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Whether two sorted sets have that Jaccard similarity."""
-    both = np.sort(np.concatenate([a, b]), kind="stable")
-    shared = int((both[1:] == both[:-1]).sum())
-    return shared >= similarity * (len(both) - shared) - 1e-9
+def similar_pairs(sets: list[np.ndarray], similarity: float, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Index pairs that connect sets as all pairs of that Jaccard similarity would; with `side`, pairs across the sides only.
 
-
-def similar_pairs(sets: list[np.ndarray], fps: np.ndarray, budget: int, similarity: float) -> list[tuple[int, int]]:
-    """Index pairs that connect sets as all pairs of that similarity (and within `budget` bits) would."""
-    size, label = np.array([len(x) for x in sets]), np.arange(len(sets))
+    One set after another is counted against all others by the postings of its shingles, so work follows what sets
+    share; a set whose others are all in its component already is passed over.
+    """
+    size, label = np.array([len(x) for x in sets], np.int64), np.arange(len(sets))
+    _, shingle, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    posting = np.repeat(np.arange(len(sets)), size)[np.argsort(shingle, kind="stable")]
+    start, upto = np.cumsum(df) - df, np.cumsum(size)
+    pivots = range(len(sets)) if side is None else np.flatnonzero(side == (np.count_nonzero(side) * 2 < len(side))).tolist()
     links = []
-    for i in range(len(sets) - 1):
-        fits = (label[i + 1 :] != label[i]) & (np.minimum(size[i], size[i + 1 :]) >= similarity * np.maximum(size[i], size[i + 1 :]) - 1e-9)
-        at = np.flatnonzero(fits) + i + 1
-        at = at[np.bitwise_count(fps[at] ^ fps[i]).sum(1, dtype=np.int64) <= budget]
-        for j in at.tolist():
-            if label[i] != label[j] and _similar(sets[i], sets[j], similarity):
+    for i in pivots:
+        other = label != label[i]
+        if side is not None:
+            other &= side != side[i]
+        if not other.any():
+            continue
+        shared = np.zeros(len(sets), np.int64)
+        mine = shingle[upto[i] - size[i] : upto[i]]
+        mine = mine[df[mine] > 1]
+        steps = np.cumsum(df[mine])
+        for own in np.split(mine, np.searchsorted(steps, np.arange(_POSTINGS, steps[-1], _POSTINGS))) if len(mine) else ():
+            n = df[own]
+            at = np.repeat(start[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            shared += np.bincount(posting[at], minlength=len(sets))
+        for j in np.flatnonzero(other & (shared >= similarity * (size[i] + size - shared) - 1e-9)).tolist():
+            if label[i] != label[j]:
                 label[label == label[j]] = label[i]
                 links.append((i, j))
     return links
 
 
-def _compare_task(shingle: int, budget: int, similarity: float):
-    """(g, node, fp, content) arrive sorted by g; the members of a group are compared by their shingle sets."""
+def _compare_task(shingle: int, similarity: float):
+    """(g, node, side, content) arrive sorted by g; the members of a group are compared by their shingle sets."""
 
-    def links(held: dict[int, tuple[bytes, np.ndarray]]) -> pa.RecordBatch | None:
-        fps = np.frombuffer(b"".join(fp for fp, _ in held.values()), np.uint64).reshape(len(held), -1)
-        found = similar_pairs([x for _, x in held.values()], fps, budget, similarity)
+    def links(held: dict[int, tuple[int | None, np.ndarray]]) -> pa.RecordBatch | None:
+        sides = [s for s, _ in held.values()]
+        found = similar_pairs([x for _, x in held.values()], similarity, None if sides[0] is None else np.array(sides))
         if not found:
             return None
         a, b = np.array(list(held), np.int64)[np.array(found).T]
         return batch_of(_LINKS, {"a": a, "b": b})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[bytes, np.ndarray]] = {}
+        held: dict[int, tuple[int | None, np.ndarray]] = {}
         now = None
         for batch in batches:
-            for g, node, fp, content in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for g, node, side, content in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if g != now:
                     if len(held) > 1 and (out := links(held)) is not None:
                         yield out
                     held, now = {}, g
                 if node not in held:  # rows alike come each
-                    held[node] = (fp, shingle_set(content, shingle))
+                    held[node] = (side, shingle_set(content, shingle))
         if len(held) > 1 and (out := links(held)) is not None:
             yield out
 
@@ -301,20 +318,22 @@ def simhash_components(docs: DataFrame, shingle: int = 3, words: int = 1, budget
     return rows, _rooted(nodes, fingerprint_links(nodes, budget, max_group))
 
 
-def similar_components(docs: DataFrame, shingle: int, words: int, budget: int, sketch: int, similarity: float, id_col: str = "doc_id", text_col: str = "text", max_group: int = MAX_GROUP, max_texts: int = MAX_TEXTS) -> tuple[DataFrame, DataFrame]:
+def similar_components(docs: DataFrame, shingle: int, words: int, budget: int, sketch: int, similarity: float, id_col: str = "doc_id", text_col: str = "text", max_group: int = MAX_GROUP, max_texts: int = MAX_TEXTS, max_shingles: int = MAX_SHINGLES) -> tuple[DataFrame, DataFrame]:
     """(doc_id, th, node) of every row, and (node, component_id) of every distinct set of shingles.
 
     Sets are linked at Jaccard similarity `similarity`, counted on the whole sets.
     """
     rows = written(fingerprints(docs, shingle, words, sketch, id_col, text_col), "fingerprints")
-    nodes = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("one"))
+    nodes = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("size").alias("size"), F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("one"))
     nodes = written(nodes, "nodes")
     groups = written(_by_keys(nodes, max_group).mapInArrow(_join_task(budget, True), "key long, node long").distinct(), "candidates")
-    asked = groups.select("node").distinct().join(nodes, "node").select("node", "fp", F.col("one.doc_id").alias("__id"), F.col("one.th").alias("__th"))
+    asked = groups.select("node").distinct().join(nodes, "node").select("node", "size", F.col("one.doc_id").alias("__id"), F.col("one.th").alias("__th"))
     texts = docs.select(F.col(id_col).cast("long").alias("__i"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("__t"), text_bytes(text_col).alias("content"))
-    texts = texts.join(asked, F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__th"))).select("node", "fp", "content")
-    met = _dealt(groups, max_texts).select("g", "node").join(texts, "node").select("g", "node", "fp", "content")
-    links = met.repartition("g").sortWithinPartitions("g").mapInArrow(_compare_task(shingle, budget, similarity), "a long, b long")
+    texts = texts.join(asked, F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__th"))).select("node", "content")
+    sized = groups.join(asked.select("node", "size"), "node")
+    parts = F.greatest(F.ceil(F.count("*") / max_texts), F.ceil(F.sum("size") / max_shingles))
+    met = _dealt(sized, parts).select("g", "node", "side").join(texts, "node").select("g", "node", "side", "content")
+    links = met.repartition("g").sortWithinPartitions("g").mapInArrow(_compare_task(shingle, similarity), "a long, b long")
     return rows, _rooted(nodes, links)
 
 

@@ -302,10 +302,52 @@ def test_near_copies_by_similarity_of_distinct_shingles(spark):
     assert near[:5] == [True] * 3 + [False] * 2 and 15 < sum(near) < len(near) - 15
     df = spark.createDataFrame([(i, " ".join(x), "en", "s", 0, "", 0, "") for i, x in enumerate(data)], SCHEMA).repartition(3)
     want = {i for i in range(len(data)) if i % 2 == 0 or not near[i // 2]}
-    for limits in ({}, {"max_group": 2, "max_texts": 1}):
+    for limits in ({}, {"max_group": 2, "max_texts": 1}, {"max_shingles": 200}):
         assert {r.doc_id for r in simhash.drop_near_copies(df, **limits).collect()} == want
 
 
+@pytest.mark.parametrize("across", [False, True])
+def test_similar_pairs_connect_as_all_pairs(across):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**60, 120).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, 100, replace=False), rng.integers(0, 2**60, int(rng.integers(0, 12))).astype(np.uint64)])) for _ in range(60)]
+    side = rng.integers(0, 2, 60) if across else None
+    near = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.75
+    want = {(i, j) for i in range(60) for j in range(i) if near(sets[i], sets[j]) and (side is None or side[i] != side[j])}
+
+    def parts(links):
+        label = list(range(60))
+        for a, b in links:
+            label = [label[a] if x == label[b] else x for x in label]
+        return {frozenset(i for i in range(60) if label[i] == x) for x in label}
+
+    got = simhash.similar_pairs(sets, 0.75, side)
+    assert set(map(lambda x: (max(x), min(x)), got)) <= want and 1 < len(parts(want)) < 60
+    assert parts(got) == parts(want)
+
+
+def test_near_copies_of_documents(spark):
+    """All pairs of the documents by brute force: what is at 0.8 is linked, and nothing is dropped that has no such partner."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    data = [(r.doc_id, text((0, r.text))) for r in docs.collect()]
+    sets = [{" ".join(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set() for w in (words(fold(t)) for _, t in data)]
+    by_size = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+    links = []
+    for k, i in enumerate(by_size):
+        for j in by_size[k + 1 :]:
+            if len(sets[i]) < 0.8 * len(sets[j]):
+                break
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                links.append((data[i][0], data[j][0]))
+    left = {r.doc_id for r in simhash.drop_near_copies(docs).collect()}
+    root = {d: d for d, _ in data}
+    for _ in range(12):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    assert links and left == {d for d, _ in data if root[d] == d}
+
+
 def test_near_copies_keep_one_of_each(spark):
     rng = np.random.default_rng(0)
     vocabulary = [f"w{i}" for i in range(5000)]
