@@ -147,13 +147,9 @@ def line_count(c: Column) -> Column:
 
 
 def first_difference(a: Column, b: Column) -> Column:
-    """0-based place of the first differing character; null if equal.
-
-    Binary search by prefixes would need a loop; comparing prefixes in one array pass is enough for code.
-    """
-    n = F.least(F.length(a), F.length(b))
-    places = F.filter(F.sequence(F.lit(0), n), lambda i: ~F.substring(a, i + 1, F.lit(1)).eqNullSafe(F.substring(b, i + 1, F.lit(1))))
-    return F.when(a != b, F.try_element_at(places, F.lit(1)))
+    """0-based place of the first differing character, the end of the shorter one if it begins the other; null if equal."""
+    differs = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: ~x.eqNullSafe(y))
+    return F.when((a != b) & (F.least(F.length(a), F.length(b)) == 0), 0).when(a != b, (F.array_position(differs, True) - 1).cast("int"))
 
 
 def anchor_signature(fields: list[Column]) -> Column:

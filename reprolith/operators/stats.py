@@ -50,33 +50,43 @@ def wilson(successes: Column, trials: Column, confidence: float = 0.95) -> tuple
     return F.when(trials > 0, F.greatest(F.lit(0.0), middle - half)).otherwise(0.0), F.when(trials > 0, F.least(F.lit(1.0), middle + half)).otherwise(0.0)
 
 
-def _log_factorials(top: Column) -> Column:
-    """Array of ln k! for k = 0..top: made once a row by running sums."""
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(top, F.lit(1))), F.array(F.lit(0.0)), lambda a, k: F.concat(a, F.array(F.element_at(a, -1) + F.log(k.cast("double")))))
-
-
-def _fisher_pmf(a: Column, b: Column, c: Column, d: Column) -> tuple[Column, Column, Column]:
-    """(lo, hi, array of (k, p)) of the hypergeometric for the table [[a, b], [c, d]]."""
-    n = (a + b + c + d).cast("int")
-    lf = lambda table, x: F.element_at(table, (x + 1).cast("int"))
-    table = _log_factorials(n)
-    lo, hi = F.greatest(F.lit(0), (a - d).cast("int")), F.least(a + b, a + c).cast("int")
-    const = lambda t: lf(t, a + b) + lf(t, c + d) + lf(t, a + c) + lf(t, b + d) - lf(t, n)
-    made = F.transform(F.array(table), lambda t: F.transform(F.sequence(lo, hi), lambda k: F.struct(k.alias("k"), F.exp(const(t) - lf(t, k) - lf(t, a + b - k) - lf(t, a + c - k) - lf(t, d - a + k)).alias("p"))))
-    return lo, hi, F.element_at(made, 1)
+def log_factorial(x: Column) -> Column:
+    """ln x! to about 1e-15 of its size: a table below 16, Stirling's series from there."""
+    x = x.cast("double")
+    small = F.element_at(F.array(*(F.lit(math.lgamma(k + 1)) for k in range(16))), F.greatest(F.least(x, F.lit(15.0)), F.lit(0.0)).cast("int") + 1)
+    y = F.greatest(x, F.lit(1.0))
+    series = 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y)
+    return F.when(x < 16, small).otherwise(y * F.log(y) - y + 0.5 * F.log(2 * math.pi * y) + series)
 
 
 def fisher(a: Column, b: Column, c: Column, d: Column, alternative: str = "two-sided") -> Column:
     """Exact p of the table [[a, b], [c, d]]; "less" sums k <= a, else all no likelier than a.
 
-    Ties are taken with a relative tolerance of 1e-7.
+    Ties are taken with a relative tolerance of 1e-7. Sums run over the k within 40 standard deviations, and 100, of the
+    mean: all others together weigh less than 1e-90, so tables of any size take about the root of their size.
     """
-    _, _, pmf = _fisher_pmf(a, b, c, d)
-    if alternative == "less":
-        kept = F.filter(pmf, lambda x: x["k"] <= a)
-    else:
-        kept = F.element_at(F.transform(F.array(pmf), lambda m: F.filter(m, lambda x: x["p"] <= F.element_at(F.filter(m, lambda y: y["k"] == a), 1)["p"] * (1 + 1e-7))), 1)
-    return F.least(F.lit(1.0), F.aggregate(kept, F.lit(0.0), lambda s, x: s + x["p"]))
+    a, b, c, d = (x.cast("double") for x in (a, b, c, d))
+    n = a + b + c + d
+    mean = (a + b) * (a + c) / F.greatest(n, F.lit(1.0))
+    spread = 40 * F.sqrt(mean * (c + d) / F.greatest(n, F.lit(1.0)) * (b + d) / F.greatest(n - 1, F.lit(1.0))) + 100
+    lo = F.greatest(F.lit(0.0), a - d, F.floor(mean - spread).cast("double")).cast("long")
+    hi = F.least(a + b, a + c, F.ceil(mean + spread).cast("double")).cast("long")
+    lf = log_factorial
+    constant = lf(a + b) + lf(c + d) + lf(a + c) + lf(b + d) - lf(n)
+    of = lambda k: -lf(k) - lf(a + b - k) - lf(a + c - k) - lf(d - a + k)
+    once = F.array(F.struct(constant.alias("c"), of(a).alias("own"), lo.alias("lo"), hi.alias("hi"), of(lo).alias("first"), (a + b).alias("r"), (a + c).alias("s"), (d - a).alias("t"), a.alias("a")))
+
+    def total(t: Column) -> Column:
+        kept = (lambda k, at: k <= t["a"]) if alternative == "less" else (lambda k, at: at <= t["own"] + 1e-7)
+
+        def step(state: Column, k: Column) -> Column:
+            at = state["at"]
+            more = F.log((t["r"] - k) * (t["s"] - k) / ((k + 1) * (t["t"] + k + 1)))
+            return F.struct((at + F.when(k < t["hi"], more).otherwise(0.0)).alias("at"), (state["sum"] + F.when(kept(k, at), F.exp(t["c"] + at)).otherwise(0.0)).alias("sum"))
+
+        return F.aggregate(F.sequence(t["lo"], t["hi"]), F.struct(t["first"].alias("at"), F.lit(0.0).alias("sum")), step, lambda state: state["sum"])
+
+    return F.least(F.lit(1.0), F.element_at(F.transform(once, total), 1))
 
 
 def odds_ratio(after_s: Column, after_f: Column, before_s: Column, before_f: Column) -> Column:
@@ -198,20 +208,54 @@ def lcg(k: Column, seed: int = 12345) -> Column:
     return x.bitwiseXOR(F.shiftright(x, 11))
 
 
-def bootstrap(df: DataFrame, group: Sequence[str], value: str, order: str, resamples: int = 200, confidence: float = 0.95) -> DataFrame:
+#: Resamples that a task draws at a time.
+RESAMPLES_EACH, _DRAWS = 250, 1 << 20
+
+
+def bootstrap_means(values: np.ndarray, resamples: np.ndarray) -> np.ndarray:
+    """The mean of each numbered resample: draw i of resample b is value lcg(100003 b + i) mod n."""
+    n, out = len(values), []
+    draws = np.arange(1, n + 1, dtype=np.int64)
+    for some in np.array_split(resamples, -(-len(resamples) * n // _DRAWS)):
+        x = ((some[:, None] * 100003 + draws) * 1103515245 + 12345) % 2147483648
+        x = ((x ^ (x >> 13)) * 69069 + 5) % 2147483648
+        out.append(values[(x ^ (x >> 11)) % n].sum(1) / n)
+    return np.concatenate(out)
+
+
+def bootstrap(df: DataFrame, group: Sequence[str], value: str, order: str, resamples: int = 10_000, confidence: float = 0.95) -> DataFrame:
     """Percentile interval of the mean by draws that depend on (resample, draw) alone.
 
-    Values of a group become one array (an experiment's outputs); resamples are made and averaged from it by
-    array functions, so draws are never rows.
+    Values of a group become one array (an experiment's outputs); its resamples are dealt to tasks in blocks.
     """
-    s = df.filter(F.col(value).isNotNull()).groupBy(*group).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("v"))
-    n = F.size("v")
-    draw = lambda b: F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda acc, i: acc + F.element_at("v", (lcg((b * 100003 + i).cast("long")) % n + 1).cast("int"))) / n
-    s = s.withColumn("m", F.explode(F.transform(F.sequence(F.lit(1), F.lit(resamples)), draw)))
+    s = df.filter(F.col(value).isNotNull()).groupBy(*group).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, value))), lambda x: x[value].cast("double")).alias("v"))
+    s = s.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples), F.lit(RESAMPLES_EACH))))
+
+    @F.pandas_udf("array<double>")
+    def means(v: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([bootstrap_means(np.asarray(x, float), np.arange(i, min(i + RESAMPLES_EACH, resamples + 1))) for x, i in zip(v, b, strict=True)])
+
+    s = s.repartition("b").select(*group, F.explode(means("v", "b")).alias("m"))
     tail = (1 - confidence) / 2
     return s.groupBy(*group).agg(F.percentile("m", F.lit(tail)).alias("ci_low"), F.percentile("m", F.lit(1 - tail)).alias("ci_high"))
 
 
+def median_interval(df: DataFrame, group: Sequence[str], value: str, confidence: float = 0.95) -> DataFrame:
+    """T4: the median's interval between two order statistics, what its bootstrap tends to with more resamples.
+
+    The ranks are n / 2 -+ z sqrt(n) / 2, down and up, within 1..n; values are found by their counts.
+    """
+    keys = list(group)
+    c = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    c = c.withColumns({"upto": F.sum("c").over(Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("c").over(Window.partitionBy(*keys))})
+    z = Z95 if confidence == 0.95 else normal_quantile((1 + confidence) / 2)
+    half = F.col("n") / 2
+    low = F.greatest(F.floor(half - z * F.sqrt("n") / 2), F.lit(1))
+    high = F.least(F.ceil(half + z * F.sqrt("n") / 2) + 1, F.col("n"))
+    at = lambda rank: F.max(F.when((F.col("upto") >= rank) & (F.col("upto") - F.col("c") < rank), F.col("v")))
+    return c.groupBy(*keys).agg(at(low).alias("median_low"), at(high).alias("median_high"))
+
+
 def _per_group(df: DataFrame, group: Sequence[str], schema: str, of) -> DataFrame:
     """`of(frame) -> dict` for each group's rows; groups are experiments, of tens of outputs."""
     keys = list(group)

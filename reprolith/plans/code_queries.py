@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import compliance as C
 from ..functions import distance as D
 from ..functions import text as X
-from ..functions.code_properties import properties
+from ..functions.code_properties import PROPERTIES, properties
 from ..functions.oracles import tested_codes
 from ..functions.rewrite import pipeline_column, repair_column
 from ..operators import rules as RU
@@ -85,7 +85,7 @@ _PASSED = f"CASE {_T} WHEN 0 THEN CASE {_K} WHEN 1 THEN 2 WHEN 0 THEN 1 ELSE 0 E
 
 
 def _repaired(s, d):
-    c = _distinct(s, d).filter("t < 4")
+    c = _distinct(s, d)
     canon = TEMPLATES[2] % 1
     cases = json.dumps([{"input": n, "expected": v} for n, v in ((0, 1), (4, 5))])
     named = lambda x: x.replace("f(", "factorial(")
@@ -93,6 +93,22 @@ def _repaired(s, d):
     return c.withColumn("r", r).select("t", "k", F.col("r.level").alias("level"), F.col("r.success").alias("success"))
 
 
+def _severities(**severe: str) -> str:
+    """property:severity of each property that differs, in the order of the distance."""
+    short = {"m": "moderate", "M": "major", "s": "minor"}
+    return "'" + ",".join(f"{p}:{short[x]}" for p, x in severe.items()) + "'"
+
+
+#: How each template differs from template 2 with 1; tests hold these against the plain functions.
+_DIFFERENCES = (
+    _severities(control_flow_signature="m", execution_paths="M", complexity_class="m", termination_properties="m", algebraic_structure="m", numerical_behavior="s", logical_equivalence="m", normalized_ast_structure="M", operator_precedence="M", statement_ordering="M", recursion_schema="M"),
+    _severities(control_flow_signature="m", data_dependency_graph="M", execution_paths="M", complexity_class="M", termination_properties="m", algebraic_structure="M", numerical_behavior="s", logical_equivalence="m", normalized_ast_structure="M", operator_precedence="M", statement_ordering="M", recursion_schema="M"),
+    f"CASE WHEN {_K} = 1 THEN '' ELSE 'numerical_behavior:minor,normalized_ast_structure:major' END",
+    _severities(control_flow_signature="m", data_dependency_graph="M", execution_paths="M", complexity_class="M", side_effect_profile="m", termination_properties="m", algebraic_structure="m", numerical_behavior="s", logical_equivalence="m", normalized_ast_structure="M", operator_precedence="m", statement_ordering="M", recursion_schema="M"),
+    "'" + ",".join(f"{p}:major" for p in PROPERTIES) + "'",
+)
+
+
 def _stream(s, d):
     """The events as a stream through tumbling windows into memory, to its end."""
     folder = tempfile.mkdtemp(prefix="stream-")
@@ -127,14 +143,14 @@ QUERIES: dict[str, Query] = {
     "d3_control_flow": (lambda s, d: rounded(_each(s, d, _distances(s, d).select("t", "k", D.property_distance("control_flow_signature", F.col("p"), F.col("c")).alias("d")))), _sql(d=("0.5::DOUBLE", "0.5", "0.0", "0.5", "1.0"))),
     "d4_ast": (lambda s, d: _each(s, d, _distances(s, d).select("t", "k", D.property_distance("normalized_ast_structure", F.col("p"), F.col("c"), True).alias("d"))), f"SELECT o_orderkey, CASE WHEN {_T} = 2 AND {_K} = 1 THEN 0.0::DOUBLE ELSE 1.0 END AS d FROM orders"),
     "d5_recursion": (lambda s, d: _each(s, d, _distances(s, d).select("t", "k", D.property_distance("recursion_schema", F.col("p"), F.col("c")).alias("d"))), _sql(d=("1.0::DOUBLE", "1.0", "0.0", "1.0", "1.0"))),
-    "d1_total": (lambda s, d: rounded(_each(s, d, _distances(s, d).filter("t = 2 or t = 4").select("t", "k", D.total_distance(F.col("p"), F.col("c")).alias("d")))), f"SELECT o_orderkey, round(CASE WHEN {_T} = 4 THEN 1.0 WHEN {_K} = 1 THEN 0.0 ELSE (1 + 0.25) / 14 END, 6) + 0.0::DOUBLE AS d FROM orders WHERE {_T} IN (2, 4)"),
-    "d9_differences": (lambda s, d: _each(s, d, _distances(s, d).filter("t = 2").select("t", "k", F.array_join(F.transform(D.differences(F.col("p"), F.col("c")), lambda r: F.concat(r["property"], F.lit(":"), r["severity"])), ",").alias("differences"))), f"SELECT o_orderkey, CASE WHEN {_K} = 1 THEN '' ELSE 'numerical_behavior:minor,normalized_ast_structure:major' END AS differences FROM orders WHERE {_T} = 2"),
+    "d1_total": (lambda s, d: rounded(_each(s, d, _distances(s, d).select("t", "k", D.total_distance(F.col("p"), F.col("c")).alias("d")))), f"SELECT o_orderkey, CASE {_T} WHEN 0 THEN 0.529762 WHEN 1 THEN 0.696429 WHEN 2 THEN CASE WHEN {_K} = 1 THEN 0.0 ELSE 0.089286 END WHEN 3 THEN 0.617857 ELSE 1.0 END::DOUBLE AS d FROM orders"),
+    "d9_differences": (lambda s, d: _each(s, d, _distances(s, d).select("t", "k", F.array_join(F.transform(D.differences(F.col("p"), F.col("c")), lambda r: F.concat(r["property"], F.lit(":"), r["severity"])), ",").alias("differences"))), f"SELECT o_orderkey, CASE {_T} {' '.join(f'WHEN {t} THEN {x}' for t, x in enumerate(_DIFFERENCES))} END AS differences FROM orders"),
     "c1_compliance": (lambda s, d: _each(s, d, _distinct(s, d).select("t", "k", F.size(C.violations_column(F.col("code"), ("print(",), ("return",), ("misra_15_5", "misra_17_2"))).alias("violations"))), _sql(violations=(0, 0, 3, 1, 1))),
     "c8_first_violation": (lambda s, d: _each(s, d, _distinct(s, d).select("t", "k", C.first_violation(F.col("code"), ("print(",), ("total",), "f").alias("first"))), _sql(first=("'missing: total'", "NULL", "'missing: total'", "'forbidden: print('", "'missing: total'"))),
     "c11_guard_removed": (lambda s, d: _each(s, d, _distinct(s, d).select("t", "k", C.domain_guard_removed(F.concat(F.lit("raise "), F.col("code")), F.col("code"), F.lit("n >= 0")).alias("removed"))), _sql(removed=("true", "true", "true", "true", "true"))),
     "r11_oracle": (_oracle_tests, f"SELECT o_orderkey, {_PASSED} AS passed_tests FROM orders"),
-    "m1_repair": (lambda s, d: _each(s, d, _repaired(s, d)), f"SELECT o_orderkey, CASE WHEN {_T} = 2 THEN 0 ELSE 3 END AS level, true AS success FROM orders WHERE {_T} < 4"),
-    "m29_pipeline": (lambda s, d: _each(s, d, _distinct(s, d).filter("t < 4").withColumn("r", pipeline_column(F.concat(F.lit("def g(n):\n    y = n * "), F.col("k").cast("string"), F.lit("\n    return y")), F.lit("def g(n):\n    return n * 3"))).select("t", "k", F.array_join("r.applied", ",").alias("applied"), F.regexp_extract("r.code", r"return (.*)$", 1).alias("returned"))), f"SELECT o_orderkey, 'inline_return' AS applied, 'n * ' || {_K} AS returned FROM orders WHERE {_T} < 4"),
+    "m1_repair": (lambda s, d: _each(s, d, _repaired(s, d)), f"SELECT o_orderkey, CASE {_T} WHEN 2 THEN 0 WHEN 4 THEN -1 ELSE 3 END AS level, {_T} < 4 AS success FROM orders"),
+    "m29_pipeline": (lambda s, d: _each(s, d, _distinct(s, d).withColumn("r", pipeline_column(F.concat(F.lit("def g(n):\n    y = n * "), F.col("k").cast("string"), F.lit("\n    return y")), F.lit("def g(n):\n    return n * 3"))).select("t", "k", F.array_join("r.applied", ",").alias("applied"), F.regexp_extract("r.code", r"return (.*)$", 1).alias("returned"))), f"SELECT o_orderkey, 'inline_return' AS applied, 'n * ' || {_K} AS returned FROM orders"),
     "a35_property_sizes": (_size(nodes="normalized_ast_structure.node_types"), _sql(nodes=(10, 28, 31, 40, "NULL"))),
     "a36_rule_statistics": (lambda s, d: RU.rule_statistics(RU.rules(s)), "SELECT * FROM (VALUES ('priority', '1', 1), ('priority', '2', 3), ('priority', '3', 2), ('property', 'logical_equivalence', 2), ('property', 'control_flow_signature', 1), ('property', 'normalized_ast_structure', 2), ('property', 'statement_ordering', 1), ('mismatch', 'empty_check', 1), ('mismatch', 'boolean_redundancy', 1), ('mismatch', 'ternary_opportunity', 1), ('mismatch', 'loop_to_comprehension', 1), ('mismatch', 'string_building', 1), ('mismatch', 'return_statement_style', 1)) v(\"by\", value, n)"),
     "m11_mismatches": (lambda s, d: rounded(_each(s, d, _distances(s, d).select("t", "k", RU.total_severity(RU.mismatches(F.col("p"), F.col("c"))).alias("severity")))), _sql(severity=("0.7::DOUBLE", "1.0", "0.0", "1.0", "0.0"))),

@@ -22,6 +22,15 @@ def rounded(df: DataFrame, *keep: str, digits: int = 6) -> DataFrame:
     return df.select(*((F.round(F.col(f"`{c}`"), digits) + 0.0).alias(c) if t == "double" and c not in keep else F.col(f"`{c}`") for c, t in df.dtypes))
 
 
+def ascii_only(column: str, other: str = "x") -> Column:
+    """Each character beyond printable ASCII as `other`: engines differ in what is a letter, and in what they count, beyond it."""
+    return F.regexp_replace(column, "[^ -~]", other)
+
+
+#: The same of `text`, and the repaired form of a column t, in SQL.
+ASCII_SQL = "regexp_replace(text, '[^ -~]', '{}', 'g')"
+FIXED_SQL = r"trim(regexp_replace(lower(regexp_replace(t, '[.,;:!?]', '', 'g')), '\s+', ' ', 'g'))"
+
 GROUP = ["lang", "source"]
 
 

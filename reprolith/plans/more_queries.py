@@ -11,26 +11,28 @@ from ..operators import reports as R
 from ..operators import stats as T
 from ..sources import io
 from .code_queries import _distinct, _each, _sql
-from .common import COMPARED_SQL, GROUP, Query, compared, read, rounded
+from ..functions.distance import normalised_levenshtein
+from ..functions.text import repaired
+from .common import ASCII_SQL, COMPARED_SQL, FIXED_SQL, GROUP, Query, ascii_only, compared, read, rounded
 
 
 def _pairwise(s, d):
-    """Mean similarity of all pairs of outputs of an experiment, by heads of 16 characters.
+    """Mean similarity of all pairs of whole outputs of an experiment, characters beyond ASCII counting as one.
 
     Pairs are of distinct outputs with their counts: n equal outputs are n(n-1)/2 pairs at similarity 1.
     """
-    n = read(s, d, "conversations").groupBy("role", "conv_id", F.substring("text", 1, 16).alias("o")).agg(F.count("*").alias("n"))
+    n = read(s, d, "conversations").groupBy("role", "conv_id", ascii_only("text").alias("o")).agg(F.count("*").alias("n"))
     a, b = n.alias("a"), n.alias("b")
     same = n.select("role", "conv_id", (F.col("n") * (F.col("n") - 1) / 2).alias("pairs"), (F.col("n") * (F.col("n") - 1) / 2).alias("total"))
     met = a.join(b, (F.col("a.role") == F.col("b.role")) & (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.o") < F.col("b.o")))
     pairs = (F.col("a.n") * F.col("b.n")).cast("double")
-    other = met.select("a.role", "a.conv_id", pairs.alias("pairs"), (pairs * (F.col("a.o") == F.substring("b.o", 1, 16)).cast("double") + pairs * (F.substring("a.o", 1, 4) == F.substring("b.o", 1, 4)).cast("double") * 0.5).alias("total"))
+    other = met.select("a.role", "a.conv_id", pairs.alias("pairs"), (pairs * (1 - normalised_levenshtein(F.col("a.o"), F.col("b.o")))).alias("total"))
     return rounded(same.unionByName(other).groupBy("role", "conv_id").agg((F.try_divide(F.sum("total"), F.sum("pairs"))).alias("similarity")).filter("similarity is not null"))
 
 
 _PAIRWISE = """
-WITH o AS (SELECT role, conv_id, turn, substr(text, 1, 16) AS o FROM conversations)
-SELECT a.role, a.conv_id, round(avg(CASE WHEN a.o = b.o THEN 1.0 WHEN substr(a.o, 1, 4) = substr(b.o, 1, 4) THEN 0.5 ELSE 0 END), 6) + 0.0 AS similarity
+WITH o AS (SELECT role, conv_id, turn, regexp_replace(text, '[^ -~]', 'x', 'g') AS o FROM conversations)
+SELECT a.role, a.conv_id, round(avg(1 - levenshtein(a.o, b.o) / greatest(length(a.o), length(b.o), 1)), 6) + 0.0 AS similarity
 FROM o a JOIN o b ON a.role = b.role AND a.conv_id = b.conv_id AND a.turn < b.turn GROUP BY 1, 2"""
 
 
@@ -67,20 +69,21 @@ _PRE_POST = f"WITH {COMPARED_SQL} SELECT lang, round(avg(distance_pre), 6) + 0.0
 
 
 def _with_ci(s, d):
-    """T4: descriptives of each language's lengths, with the interval of the mean."""
-    docs = read(s, d, "documents").withColumn("x", F.col("n_chars").cast("double")).filter("doc_id % 7 = 0 or doc_id % 7 = 3")
-    ci = T.bootstrap(docs, ["lang", "source"], "x", "doc_id", resamples=50)
-    out = T.describe(docs, ["lang", "source"], "x").join(ci, ["lang", "source"])
-    return out.select("lang", "source", "n", *(F.round(F.col(c) + 1e-7, 3).alias(c) for c in ("mean", "median", "ci_low", "ci_high")))
+    """T4: descriptives of the lengths by language and source, with the intervals of mean and median."""
+    docs = read(s, d, "documents").withColumn("x", F.col("n_chars").cast("double"))
+    by = ["lang", "source"]
+    out = T.describe(docs, by, "x").join(T.bootstrap(docs, by, "x", "doc_id"), by).join(T.median_interval(docs, by, "x"), by)
+    return out.select(*by, "n", *(F.round(F.col(c) + 1e-7, 3).alias(c) for c in ("mean", "median", "ci_low", "ci_high", "median_low", "median_high")))
 
 
-_WITH_CI = """
-WITH x AS (SELECT * FROM documents WHERE doc_id % 7 IN (0, 3)), v AS (SELECT lang, source, list(n_chars::DOUBLE ORDER BY doc_id) AS v FROM x GROUP BY 1, 2),
-  k AS (SELECT lang, source, v, len(v) AS n, b, unnest(range(1, len(v) + 1)) AS i FROM (SELECT *, unnest(range(1, 51)) AS b FROM v)),
+_WITH_CI = f"""
+WITH v AS (SELECT lang, source, list(n_chars::DOUBLE ORDER BY doc_id) AS v, list_sort(list(n_chars::DOUBLE)) AS o, count(*) AS n FROM documents GROUP BY 1, 2),
+  k AS (SELECT lang, source, v, n, b, unnest(range(1, n + 1)) AS i FROM (SELECT *, unnest(range(1, 10001)) AS b FROM v)),
   x1 AS (SELECT *, ((b * 100003 + i) * 1103515245 + 12345) % 2147483648 AS r FROM k), x2 AS (SELECT * REPLACE ((xor(r, r >> 13) * 69069 + 5) % 2147483648 AS r) FROM x1),
   m AS (SELECT lang, source, b, sum(v[(xor(r, r >> 11) % n + 1)::INT]) / any_value(n) AS m FROM x2 GROUP BY 1, 2, 3),
   c AS (SELECT lang, source, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m GROUP BY 1, 2)
-SELECT lang, source, count(*) AS n, round(avg(n_chars) + 1e-7, 3) AS mean, round(median(n_chars) + 1e-7, 3) AS median, round(any_value(lo) + 1e-7, 3) AS ci_low, round(any_value(hi) + 1e-7, 3) AS ci_high FROM x JOIN c USING (lang, source) GROUP BY 1, 2"""
+SELECT lang, source, n, {', '.join(f'round({e} + 1e-7, 3) AS {c}' for c, e in {'mean': 'list_avg(v)', 'median': 'list_median(v)', 'ci_low': 'lo', 'ci_high': 'hi', 'median_low': f'o[greatest(floor(n / 2 - {T.Z95} * sqrt(n) / 2), 1)::INT]', 'median_high': f'o[least(ceil(n / 2 + {T.Z95} * sqrt(n) / 2) + 1, n)::INT]'}.items())}
+FROM v JOIN c USING (lang, source)"""
 
 
 def _lines(s, d):
@@ -95,6 +98,21 @@ def _flags(s, d):
     return _each(s, d, _distinct(s, d).select("t", "k", *(F.size(v).alias(r) for r, v in found.items())))
 
 
+def _identifier_changes(s, d):
+    """Identifiers of a whole text that its repaired form lacks, and the other way round."""
+    a = X.identifiers(ascii_only("text", " "))
+    b = X.identifiers(repaired(ascii_only("text", " ")))
+    both = read(s, d, "documents").select("doc_id", a.alias("a"), b.alias("b"))
+    return both.select("doc_id", F.size(F.array_except("a", "b")).alias("only_text"), F.size(F.array_except("b", "a")).alias("only_repaired"))
+
+
+_KEYWORDS = "('def','return','if','else','elif','for','while','in','not','and','or','is','import','from','class','range','len','print')"
+_NAMES = r"list_filter(list_distinct(regexp_extract_all({}, '\b([a-z_]\w*)\b', 1)), lambda x: x NOT IN " + _KEYWORDS + ")"
+_IDENTIFIER_CHANGES = f"""
+WITH t AS (SELECT doc_id, {ASCII_SQL.format(' ')} AS t FROM documents), i AS (SELECT doc_id, {_NAMES.format('t')} AS a, {_NAMES.format(FIXED_SQL)} AS b FROM t)
+SELECT doc_id, len(list_filter(a, lambda x: NOT list_contains(b, x)))::INT AS only_text, len(list_filter(b, lambda x: NOT list_contains(a, x)))::INT AS only_repaired FROM i"""
+
+
 QUERIES: dict[str, Query] = {
     "c2_misra_15_5_to_c5": (_flags, _sql(misra_15_4=(0, 0, 0, 0, 1), misra_15_5=(0, 0, 2, 0, 1), misra_17_2=(0, 0, 1, 0, 1), misra_21_3=(0, 0, 0, 0, 1))),
     "j10_pairwise_similarity": (_pairwise, _PAIRWISE),
@@ -109,5 +127,5 @@ QUERIES: dict[str, Query] = {
     "t26_three_tiers": (lambda s, d: rounded(M.across(M.anchor_metrics(compared(s, d), ["source"]), ["r_anchor_pre", "r_anchor_post", "canon_coverage"], "r_anchor_pre").select("experiments", "r_anchor_pre_mean", "r_anchor_post_mean", "canon_coverage_mean", "r_anchor_post_gain")), f"WITH {COMPARED_SQL}, m AS (SELECT source, avg((distance_pre = 0)::INT) AS a, avg((distance_post = 0)::INT) AS b, avg(passed::INT) AS c FROM compared GROUP BY 1) SELECT count(*) AS experiments, round(avg(a), 6) + 0.0 AS r_anchor_pre_mean, round(avg(b), 6) + 0.0 AS r_anchor_post_mean, round(avg(c), 6) + 0.0 AS canon_coverage_mean, round(avg(b - a), 6) + 0.0 AS r_anchor_post_gain FROM m"),
     "u1_set_equality": (lambda s, d: R.set_report(read(s, d, "nation").select("n_nationkey"), read(s, d, "customer").select(F.col("c_nationkey").alias("n_nationkey")), "n_nationkey").agg((F.count("*") == 0).alias("equal")), "SELECT count(*) = 0 AS equal FROM (SELECT n_nationkey FROM nation EXCEPT SELECT c_nationkey FROM customer UNION ALL (SELECT c_nationkey FROM customer EXCEPT SELECT n_nationkey FROM nation))"),
     "u4_key_union": (lambda s, d: read(s, d, "events").select("event_id", F.size(F.array_union(F.json_object_keys("props"), F.array(F.lit("k"), F.lit("z")))).alias("keys")), "SELECT event_id, len(list_distinct(list_concat(json_keys(props), ['k', 'z'])))::INT AS keys FROM events"),
-    "u5_symmetric_difference": (lambda s, d: read(s, d, "documents").select("doc_id", F.size(F.array_except(X.identifiers(F.regexp_replace(F.substring("text", 1, 100), "[^ -~]", " ")), X.identifiers(F.regexp_replace(F.substring("text", 51, 100), "[^ -~]", " ")))).alias("only_first")), r"SELECT doc_id, len(list_filter(a, lambda x: NOT list_contains(b, x)))::INT AS only_first FROM (SELECT doc_id, list_filter(list_distinct(regexp_extract_all(regexp_replace(substr(text, 1, 100), '[^ -~]', ' ', 'g'), '\b([a-z_]\w*)\b', 1)), lambda x: x NOT IN ('def','return','if','else','elif','for','while','in','not','and','or','is','import','from','class','range','len','print')) AS a, regexp_extract_all(regexp_replace(substr(text, 51, 100), '[^ -~]', ' ', 'g'), '\b([a-z_]\w*)\b', 1) AS b FROM documents)"),
+    "u5_symmetric_difference": (_identifier_changes, _IDENTIFIER_CHANGES),
 }

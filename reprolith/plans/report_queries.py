@@ -25,13 +25,14 @@ def _facts(s, d):
 
 
 _FACTS = "(SELECT l_returnflag AS contract_id, l_linestatus AS model, floor(l_quantity / 10) / 10 AS temperature, l_discount * 8 AS r_raw, 1 - l_tax * 0.937 AS r_structural, l_orderkey, l_linenumber, l_shipdate, l_extendedprice FROM lineitem)"
-_GRID_SQL = "WITH g AS (SELECT n_nationkey, p FROM nation, (SELECT DISTINCT o_orderpriority AS p FROM orders)), a AS (SELECT DISTINCT c_nationkey, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 300000)"
+_GRID_SQL = "WITH g AS (SELECT n_nationkey, p, day FROM nation, (SELECT DISTINCT o_orderpriority AS p FROM orders), (SELECT DISTINCT o_orderdate::DATE::VARCHAR AS day FROM orders)), a AS (SELECT DISTINCT c_nationkey AS n_nationkey, o_orderpriority AS p, o_orderdate::DATE::VARCHAR AS day FROM orders JOIN customer ON o_custkey = c_custkey)"
 
 
 def _grid(s, d):
-    orders = read(s, d, "orders").filter("o_totalprice > 300000").select("o_custkey", F.col("o_orderpriority").alias("p"))
-    actual = orders.join(read(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("n_nationkey"), "p")
-    return R.completeness([read(s, d, "nation").select("n_nationkey"), read(s, d, "orders").select(F.col("o_orderpriority").alias("p")).distinct()], actual, ["n_nationkey", "p"])
+    """Combinations of nation, priority and day on which nothing was ordered."""
+    orders = read(s, d, "orders").select("o_custkey", F.col("o_orderpriority").alias("p"), F.col("o_orderdate").cast("date").cast("string").alias("day"))
+    actual = orders.join(read(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("n_nationkey"), "p", "day")
+    return R.completeness([read(s, d, "nation").select("n_nationkey"), orders.select("p").distinct(), orders.select("day").distinct()], actual, ["n_nationkey", "p", "day"])
 
 
 _WORDS = r"len(regexp_extract_all(text, '\S+'))"
@@ -66,11 +67,11 @@ QUERIES: dict[str, Query] = {
     "f17_hypothesis": (lambda s, d: _facts(s, d).groupBy("contract_id", "model").agg(R.conclusion(F.avg("r_raw"), F.avg("r_structural")).alias("conclusion")), f"SELECT contract_id, model, CASE WHEN avg(r_structural) > avg(r_raw) + 0.1 THEN 'SUPPORTED' WHEN avg(r_structural) > avg(r_raw) THEN 'PARTIAL' ELSE 'NOT' END AS conclusion FROM {_FACTS} GROUP BY 1, 2"),
     "f18_sweep": (lambda s, d: rounded(R.sweep_conclusion(_facts(s, d).groupBy("contract_id", "temperature").agg(F.avg("r_raw").alias("b"), F.avg("r_structural").alias("a")), ["contract_id"], F.col("a") - F.col("b"))), f"SELECT contract_id, all_up, round(g, 6) + 0.0 AS mean_gain, CASE WHEN all_up AND g > 0.1 THEN 'SUPPORTED' WHEN g > 0.05 THEN 'PARTIALLY_SUPPORTED' ELSE 'NOT_SUPPORTED' END AS conclusion FROM (SELECT contract_id, bool_and(g > 0.05) AS all_up, avg(g) AS g FROM (SELECT contract_id, temperature, avg(r_structural) - avg(r_raw) AS g FROM {_FACTS} GROUP BY 1, 2) GROUP BY 1)"),
     "f20_severity": (lambda s, d: compared(s, d).groupBy(R.severity(F.col("distance_post")).alias("severity")).agg(F.count("*").alias("n")), f"WITH {COMPARED_SQL} SELECT CASE WHEN distance_post = 0 THEN 'none' WHEN distance_post < 0.3 THEN 'minor' WHEN distance_post < 0.7 THEN 'moderate' ELSE 'major' END AS severity, count(*) AS n FROM compared GROUP BY 1"),
-    "j3_missing_grid": (_grid, f"{_GRID_SQL} SELECT n_nationkey, p FROM g WHERE NOT EXISTS (SELECT 1 FROM a WHERE c_nationkey = n_nationkey AND o_orderpriority = p)"),
+    "j3_missing_grid": (_grid, f"{_GRID_SQL} SELECT * FROM g ANTI JOIN a USING (n_nationkey, p, day)"),
     "j4_first_match": (_j4, _J4_SQL),
     "j5_label_pairs": (lambda s, d: (lambda e: e.alias("a").join(e.alias("b"), F.col("a.event_type") < F.col("b.event_type")).select(F.col("a.event_type").alias("x"), F.col("b.event_type").alias("y"), (F.round(F.col("a.m") - F.col("b.m"), 6) + 0.0).alias("gap")))(_ev(s, d).groupBy("event_type").agg(F.avg("value").alias("m"))), "WITH e AS (SELECT event_type, avg(value) AS m FROM events GROUP BY 1) SELECT a.event_type AS x, b.event_type AS y, round(a.m - b.m, 6) + 0.0 AS gap FROM e a JOIN e b ON a.event_type < b.event_type"),
     "j7_before_after": (lambda s, d: rounded(_facts(s, d).groupBy("contract_id").agg(F.avg("r_raw").alias("before"), F.avg("r_structural").alias("after"))), f"SELECT contract_id, round(avg(r_raw), 6) + 0.0 AS before, round(avg(r_structural), 6) + 0.0 AS after FROM {_FACTS} GROUP BY 1"),
-    "j8_set_difference": (lambda s, d: read(s, d, "supplier").select("s_nationkey").distinct().join(read(s, d, "customer").filter("c_acctbal > 9900").select(F.col("c_nationkey").alias("s_nationkey")).distinct(), "s_nationkey", "left_anti"), "SELECT DISTINCT s_nationkey FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900)"),
+    "j8_set_difference": (lambda s, d: read(s, d, "orders").select(F.col("o_custkey").alias("user_id")).distinct().join(_ev(s, d).select("user_id").distinct(), "user_id", "left_anti"), "SELECT o_custkey AS user_id FROM orders EXCEPT SELECT user_id FROM events"),
     "a16_describe": (lambda s, d: rounded(T.describe(_ev(s, d), ["event_type"], "value")), "SELECT event_type, count(value) AS n, round(avg(value), 6) + 0.0 AS mean, round(median(value), 6) + 0.0 AS median, round(stddev_pop(value), 6) + 0.0 AS std, round(min(value), 6) + 0.0 AS min, round(max(value), 6) + 0.0 AS max FROM events GROUP BY 1"),
     "a17_overall": (lambda s, d: rounded(_facts(s, d).agg(F.avg("r_raw").alias("mean"), F.stddev_samp("r_raw").alias("std"), F.min("r_raw").alias("min"), F.max("r_raw").alias("max"))), f"SELECT round(avg(r_raw), 6) + 0.0 AS mean, round(stddev_samp(r_raw), 6) + 0.0 AS std, round(min(r_raw), 6) + 0.0 AS min, round(max(r_raw), 6) + 0.0 AS max FROM {_FACTS}"),
     "a18_by_dimension": (lambda s, d: rounded(R.grouped_means(_facts(s, d), ["contract_id", "model"], ["r_raw", "r_structural"])), f"SELECT CASE grouping_id(contract_id, model) WHEN 1 THEN 'contract_id' WHEN 2 THEN 'model' ELSE 'all' END AS dimension, coalesce(contract_id, model) AS key, count(*) AS n, round(avg(r_raw), 6) + 0.0 AS r_raw, round(avg(r_structural), 6) + 0.0 AS r_structural FROM {_FACTS} GROUP BY GROUPING SETS ((contract_id), (model), ())"),
@@ -101,7 +102,7 @@ QUERIES: dict[str, Query] = {
     "o5_top_n": (lambda s, d: read(s, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(10).select("o_orderkey", "o_totalprice"), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10"),
     "o6_arg_max": (lambda s, d: _li(s, d).groupBy("l_orderkey").agg(F.max_by("l_linenumber", F.struct(F.col("l_quantity") * F.col("l_discount"), -F.col("l_linenumber"))).alias("best")), "SELECT l_orderkey, l_linenumber AS best FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity * l_discount DESC, l_linenumber) AS k FROM lineitem) WHERE k = 1"),
     "o7_last_files": (lambda s, d: read(s, d, "pages").select("url").orderBy(F.desc("url")).limit(15), "SELECT url FROM pages ORDER BY url DESC LIMIT 15"),
-    "u2_set_report": (lambda s, d: R.set_report(read(s, d, "customer").filter("c_acctbal > 9800").select("c_nationkey"), read(s, d, "supplier").filter("s_acctbal < 2000").select(F.col("s_nationkey").alias("c_nationkey")), "c_nationkey"), "WITH e AS (SELECT DISTINCT c_nationkey FROM customer WHERE c_acctbal > 9800), a AS (SELECT DISTINCT s_nationkey AS c_nationkey FROM supplier WHERE s_acctbal < 2000) SELECT c_nationkey, 'missing' AS status FROM (SELECT * FROM e EXCEPT SELECT * FROM a) UNION ALL SELECT c_nationkey, 'extra' FROM (SELECT * FROM a EXCEPT SELECT * FROM e)"),
+    "u2_set_report": (lambda s, d: R.set_report(read(s, d, "customer").select("c_custkey"), read(s, d, "orders").select((F.col("o_custkey") + F.col("o_orderkey") % 50).alias("c_custkey")), "c_custkey"), "WITH e AS (SELECT DISTINCT c_custkey FROM customer), a AS (SELECT DISTINCT o_custkey + o_orderkey % 50 AS c_custkey FROM orders) SELECT c_custkey, 'missing' AS status FROM (SELECT * FROM e EXCEPT SELECT * FROM a) UNION ALL SELECT c_custkey, 'extra' FROM (SELECT * FROM a EXCEPT SELECT * FROM e)"),
     "u3_intersection": (lambda s, d: read(s, d, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("p"), F.collect_set("o_orderstatus").alias("q")).select("o_custkey", F.size(F.array_intersect("p", F.array(F.lit("1-URGENT"), F.lit("5-LOW")))).alias("common"), F.size(F.array_union("p", "q")).alias("all")), "SELECT o_custkey, (count(DISTINCT o_orderpriority) FILTER (o_orderpriority IN ('1-URGENT', '5-LOW')))::INT AS common, (count(DISTINCT o_orderpriority) + count(DISTINCT o_orderstatus))::INT AS \"all\" FROM orders GROUP BY 1"),
     "u6_concat_runs": (lambda s, d: _ev(s, d).filter("event_type = 'view'").select("event_id", "value").unionByName(_ev(s, d).filter("event_type = 'error'").select("event_id", "value")), "SELECT event_id, value FROM events WHERE event_type = 'view' UNION ALL SELECT event_id, value FROM events WHERE event_type = 'error'"),
     "u7_extra_lines": (lambda s, d: read(s, d, "conversations").select("conv_id", "turn", F.size(F.filter(F.transform(F.split("text", r"\n"), F.trim), lambda x: (x != "") & ~x.startswith("T"))).alias("extra")), "SELECT conv_id, turn, len(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT starts_with(x, 'T')))::INT AS extra FROM conversations"),

@@ -12,8 +12,8 @@ _SPLIT = "1997-01-01"
 
 
 def _table(s, d):
-    """Successes (returned) and trials before and after a date, for each priority and status; small groups."""
-    li = read(s, d, "lineitem").filter("l_quantity <= 2")
+    """Successes (returned) and failures before and after a date, for each of 20 groups of suppliers."""
+    li = read(s, d, "lineitem")
     after = F.col("l_shipdate") >= F.lit(_SPLIT).cast("timestamp_ntz")
     hit = F.col("l_returnflag") == "R"
     sums = {n: F.sum(c.cast("long")) for n, c in {"bs": ~after & hit, "bf": ~after & ~hit, "as_": after & hit, "af": after & ~hit}.items()}
@@ -22,7 +22,7 @@ def _table(s, d):
 
 _TABLE = f"""(SELECT l_suppkey % 20 AS g, sum((l_shipdate < DATE '{_SPLIT}' AND l_returnflag = 'R')::INT)::BIGINT AS bs, sum((l_shipdate < DATE '{_SPLIT}' AND l_returnflag <> 'R')::INT)::BIGINT AS bf,
   sum((l_shipdate >= DATE '{_SPLIT}' AND l_returnflag = 'R')::INT)::BIGINT AS as_, sum((l_shipdate >= DATE '{_SPLIT}' AND l_returnflag <> 'R')::INT)::BIGINT AS af
-  FROM lineitem WHERE l_quantity <= 2 GROUP BY 1 HAVING bs + bf > 0 AND as_ + af > 0)"""
+  FROM lineitem GROUP BY 1 HAVING bs + bf > 0 AND as_ + af > 0)"""
 #: exp(log pmf) of k in the table's hypergeometric
 _PMF = "exp(lgamma(as_+af+1) + lgamma(bs+bf+1) + lgamma(as_+bs+1) + lgamma(af+bf+1) - lgamma(as_+af+bs+bf+1) - lgamma(k+1) - lgamma(as_+af-k+1) - lgamma(as_+bs-k+1) - lgamma(bf-as_+k+1))"
 _ALL_K = f"(SELECT *, {_PMF} AS p FROM (SELECT *, unnest(range(greatest(0, as_ - bf), least(as_ + af, as_ + bs) + 1)) AS k FROM {_TABLE}))"
@@ -65,13 +65,13 @@ _TAIL = "exp(-z * z / 2) / 2.5066282746310002 * (t * (0.319381530 + t * (-0.3565
 
 def _bootstrap(s, d):
     docs = read(s, d, "documents").withColumn("x", F.col("n_chars").cast("double"))
-    ci = T.bootstrap(docs, ["lang", "source"], "x", "doc_id", resamples=100)
+    ci = T.bootstrap(docs, ["lang", "source"], "x", "doc_id")
     return ci.select("lang", "source", *(F.round(F.col(c) + 1e-7, 4).alias(c) for c in ("ci_low", "ci_high")))  # off exact halves
 
 
 _BOOT = """
 WITH v AS (SELECT lang, source, list(n_chars::DOUBLE ORDER BY doc_id) AS v FROM documents GROUP BY 1, 2),
-  k AS (SELECT lang, source, v, len(v) AS n, b, unnest(range(1, len(v) + 1)) AS i FROM (SELECT *, unnest(range(1, 101)) AS b FROM v)),
+  k AS (SELECT lang, source, v, len(v) AS n, b, unnest(range(1, len(v) + 1)) AS i FROM (SELECT *, unnest(range(1, 10001)) AS b FROM v)),
   x1 AS (SELECT *, ((b * 100003 + i) * 1103515245 + 12345) % 2147483648 AS x FROM k),
   x2 AS (SELECT * REPLACE ((xor(x, x >> 13) * 69069 + 5) % 2147483648 AS x) FROM x1),
   m AS (SELECT lang, source, b, sum(v[(xor(x, x >> 11) % n + 1)::INT]) / any_value(n) AS m FROM x2 GROUP BY 1, 2, 3)

@@ -179,3 +179,23 @@ def test_experiment(spark, tmp_path):
     m = out["metrics"].filter("temperature = 0.5").first()
     assert m.r_raw == 0.25 and m.canon_coverage == 0.75 and m.r_anchor_pre <= m.r_anchor_post and m.r_behavioral == 0.75
     assert sweep(out["metrics"]).count() == 1
+
+
+def test_distances_of_the_templates_are_the_plain_ones(spark):
+    from reprolith.plans.code_queries import TEMPLATES
+    from reprolith.plans.registry import oracle_sql, queries
+
+    sf = "/root/testdata/sf0.001"
+    plain = {(t, k): D.code_distance(text.replace("%s", str(k)), TEMPLATES[2] % 1) for t, text in enumerate(TEMPLATES) for k in range(7)}
+    got = queries()["d1_total"](spark, sf).collect()
+    assert len(got) == spark.read.parquet(f"{sf}/orders.parquet").count()
+    assert all(r.d == pytest.approx(plain[r.o_orderkey % 5, r.o_orderkey % 7], abs=1e-6) for r in got)
+    assert {r.o_orderkey % 5 for n in ("d9_differences", "m1_repair", "m29_pipeline") for r in queries()[n](spark, sf).collect()} == set(range(5))
+    assert not any(x in sql for n, sql in oracle_sql().items() if n[0] in "dmt" for x in ("WHERE (o_orderkey % 5)", "l_quantity <= 2", "doc_id % 7"))
+
+
+def test_first_difference(spark):
+    from reprolith.functions.text import first_difference
+
+    for a, b, at in (("abc", "abd", 2), ("ab", "abc", 2), ("abc", "ab", 2), ("x", "x", None), ("", "y", 0), ("", "", None), ("é😀z", "é😀y", 2)):
+        assert spark.range(1).select(first_difference(F.lit(a), F.lit(b)).alias("at")).first().at == at

@@ -130,3 +130,43 @@ def test_bca_query_draws_a_thousand_resamples(spark, tmp_path):
     ends = lambda df: sorted((r.lang, r.bca_low, r.bca_high) for r in df.collect())
     got = ends(QUERIES["t3_bca"][0](spark, str(tmp_path)))
     assert got == ends(T.bca(x, ["lang"], "x", resamples=1000)) and got != ends(T.bca(x, ["lang"], "x", resamples=200))
+
+
+@pytest.mark.parametrize("table", [(747, 1419, 271, 615), (0, 0, 5, 9), (3, 0, 0, 4), (20_000, 70_000, 21_000, 69_500), (15, 2, 16, 1), (900, 100, 100, 900)])
+def test_fisher_of_tables_of_any_size(spark, table):
+    a, b, c, d = table
+    n = a + b + c + d
+    lf = math.lgamma
+    log_p = lambda k: lf(a + b + 1) + lf(c + d + 1) + lf(a + c + 1) + lf(b + d + 1) - lf(n + 1) - lf(k + 1) - lf(a + b - k + 1) - lf(a + c - k + 1) - lf(d - a + k + 1)
+    every = {k: log_p(k) for k in range(max(0, a - d), min(a + b, a + c) + 1)}
+    cells = [F.lit(x) for x in table]
+    r = one(spark, p=T.fisher(*cells), less=T.fisher(*cells, "less"))
+    assert r.p == pytest.approx(min(1.0, sum(math.exp(p) for p in every.values() if p <= every[a] + 1e-7)), rel=1e-6, abs=1e-80)
+    assert r.less == pytest.approx(min(1.0, sum(math.exp(p) for k, p in every.items() if k <= a)), rel=1e-6)
+
+
+def test_bootstrap_draws_are_those_of_the_generator(spark):
+    values = np.array([3.0, 1.0, 4.0, 1.0, 5.0])
+
+    def mean(b):
+        out = 0.0
+        for i in range(1, 6):
+            x = ((b * 100003 + i) * 1103515245 + 12345) % 2**31
+            x = ((x ^ (x >> 13)) * 69069 + 5) % 2**31
+            out += values[(x ^ (x >> 11)) % 5]
+        return out / 5
+
+    want = [mean(b) for b in range(1, 10_001)]
+    assert T.bootstrap_means(values, np.arange(1, 10_001)) == pytest.approx(want)
+    df = spark.createDataFrame([(1, i, float(x)) for i, x in enumerate(values)] + [(1, 9, None)], "g int, i int, x double")
+    r = T.bootstrap(df, ["g"], "x", "i").first()
+    assert (r.ci_low, r.ci_high) == pytest.approx(tuple(np.quantile(want, [0.025, 0.975])))
+
+
+def test_median_interval_is_near_the_bootstrap_of_the_median(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 1000, 301).astype(float)
+    r = T.median_interval(spark.createDataFrame([(1, v) for v in x.tolist()], "g int, x double"), ["g"], "x").first()
+    draws = np.quantile([np.median(rng.choice(x, len(x))) for _ in range(4000)], [0.025, 0.975])
+    assert r.median_low < np.median(x) < r.median_high
+    assert abs(r.median_low - draws[0]) < 40 and abs(r.median_high - draws[1]) < 40
