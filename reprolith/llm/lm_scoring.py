@@ -1,24 +1,27 @@
 """Language-model scores from n-gram tries in shards.
 
-The model. Words are the lower-cased words of a text and one end mark for each text, which is also the
-context of the first word. p(w | h) = (c(hw) + T(h) p(w)) / (c(h) + T(h)) with T(h) the distinct words
-seen after h (Witten-Bell); p(w) = (1 - n1/N) c(w)/N, and n1/N for a word not seen, n1 being the words
-seen once. Everything is counted over all training texts.
-
-The exchange. Documents are laid out in chunks of some million words, written once. Each chunk sends
-every shard of words its distinct words and, below each, a 32-bit fingerprint of its distinct successors,
-with counts. A shard adds up all chunks' counts, builds its trie - words, monotone pointers, successors,
-quantised log counts of the discounted model, in memory-mapped Elias-Fano levels - and answers every chunk by
-successor search: c and T of its words, one byte for each pair. Scores are then made chunk by chunk.
-No table of the vocabulary or of the model is ever in one place.
-
-A frequent context would make its shard large. Words with over HOT_SHARE of all tokens - so at most
-1/HOT_SHARE of them, which bounds what the driver is told - have their successors dealt by fingerprint
-over HOT_PARTS shards of their own; their T are added up from the parts.
+The model. Words are the lower-cased words of a text and one end mark for each text, which is also the context of the
+first word. A context h of one or two words has p(w | h) = c(hw) / (c(h) + M) + M / (c(h) + M) p(w | h'), h' being h without
+its first word (Dirichlet smoothing with M = PRIOR; MacKay and Peto, 1995). The first word of a text has no context of two
+words. p(w) = (1 - n1/N) c(w)/N, and n1/N for a word not seen, n1 being the words seen once. Everything is counted over
+all training texts.
+
+The exchange. Documents are tokenised into chunks of about a million words, written once. Each chunk sends every shard of
+contexts its contexts and, below each, a 32-bit fingerprint of its distinct successors, with counts. A shard adds up all
+chunks' counts and builds its trie - contexts, monotone pointers, successors, quantised log10 of the smoothed c(hw) / (c(h) + M)
+and of a context's weight for the lower order, in memory-mapped Elias-Fano levels - and answers every chunk by successor
+search: one byte for each n-gram. There are two rounds, contexts of one word and of two. What occurs once in all texts,
+training or not, has longer n-grams that occur once; their counts are known without asking, so the second round has only
+n-grams both of whose halves occur twice. No table of the vocabulary or of the model is ever in one place.
+
+A context with over HOT_TOKENS tokens is dealt, by its successors, over as many parts; each part lies in a shard of its
+own hash. So a shard holds about SHARD_TOKENS tokens, whatever the corpus. Counts of frequent words are a table that chunks
+join; those of two-word contexts are known from the first round.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,19 +36,25 @@ from .common import batch_of, text_bytes, written
 from .ngram_trie import NGramTrie
 from .token_store import mix64
 
-#: Words of a chunk, and tokens for each shard, about: what a task holds at a time.
-CHUNK_WORDS, SHARD_TOKENS = 600_000, 500_000
-HOT_SHARE, HOT_PARTS = 0.002, 16
+#: Words of a chunk, and tokens for each shard, about: what a task holds at a time. Small inputs get more, smaller shards.
+CHUNK_WORDS, SHARD_TOKENS, LEAST_TOKENS = 1_000_000, 500_000, 50_000
+#: Tokens of a context in one shard at most.
+HOT_TOKENS = 125_000
+#: The weight of the lower order, in tokens, by length of context.
+PRIOR = {1: 50.0, 2: 4.0}
 _END = b""  # no word is empty
+_END_HASH = np.uint64(xxhash.xxh64_intdigest(_END))
 
-_CHUNKS = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("texts", pa.binary())])
-_CHUNKS_DDL = "chunk long, ids array<long>, train array<boolean>, sizes array<long>, texts binary"
+_CHUNKS = pa.schema([("chunk", pa.int64()), ("tokens", pa.int64()), ("ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("words", pa.binary()), ("places", pa.binary())])
+_CHUNKS_DDL = "chunk long, tokens long, ids array<long>, train array<boolean>, words binary, places binary"
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays by planes of bytes, compressed: what is small in most elements takes little room."""
     head = np.array([len(arrays), *(len(a) for a in arrays)], "<i8").tobytes()
     kinds = b"".join(a.dtype.str.encode().ljust(4) for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(head + kinds + b"".join(a.tobytes() for a in arrays))
+    planes = (np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
+    return zstandard.ZstdCompressor(level=1).compress(head + kinds + b"".join(planes))
 
 
 def _unpack(data: bytes) -> list[np.ndarray]:
@@ -54,13 +63,38 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     sizes, at, out = np.frombuffer(data, "<i8", n, 8).tolist(), 8 + 8 * n + 4 * n, []
     for i, size in enumerate(sizes):
         kind = np.dtype(data[8 + 8 * n + 4 * i : 12 + 8 * n + 4 * i].decode().strip())
-        out.append(np.frombuffer(data, kind, size, at))
+        planes = np.frombuffer(data, np.uint8, size * kind.itemsize, at).reshape(kind.itemsize, size)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(size))
         at += size * kind.itemsize
     return out
 
 
+def _rises(a: np.ndarray) -> np.ndarray:
+    """An ascending array as its steps; np.cumsum gives it back."""
+    return np.diff(a, prepend=a.dtype.type(0))
+
+
+def tokenised(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct words, frequent ones first; each token's place among them; the texts' numbers of tokens."""
+    table: dict[bytes, int] = {}
+    order: list[int] = []
+    lengths = []
+    place = table.setdefault
+    for text in texts:
+        words = text.lower().split()
+        words.append(_END)
+        lengths.append(len(words))
+        order += [place(w, len(table)) for w in words]
+    of = np.array(order, np.int64)
+    by_count = np.argsort(-np.bincount(of, minlength=len(table)), kind="stable")
+    rank = np.empty(len(table), np.uint32)
+    rank[by_count] = np.arange(len(table), dtype=np.uint32)
+    hashes = np.array([xxhash.xxh64_intdigest(w) for w in table], np.uint64)
+    return hashes[by_count], rank[of], np.array(lengths, np.int64)
+
+
 def lay_out(docs: DataFrame, folds: int, id_col: str, text_col: str, chunk_words: int) -> DataFrame:
-    """Chunks of whole documents, written: ids, whether they train, byte sizes and texts one after another."""
+    """Chunks of whole documents, tokenised and written: ids, whether they train, words and places (`tokenised`)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seq, words = TaskContext.get().partitionId(), 0, 0
@@ -68,7 +102,8 @@ def lay_out(docs: DataFrame, folds: int, id_col: str, text_col: str, chunk_words
 
         def close() -> pa.RecordBatch:
             ids, train, texts = zip(*held, strict=True)
-            return batch_of(_CHUNKS, {"chunk": [task << 32 | seq], "ids": [ids], "train": [train], "sizes": [[len(t) for t in texts]], "texts": [b"".join(texts)]})
+            hashes, places, lengths = tokenised(texts)
+            return batch_of(_CHUNKS, {"chunk": [task << 32 | seq], "tokens": [len(places)], "ids": [ids], "train": [train], "words": [_pack(hashes)], "places": [_pack(places, lengths)]})
 
         for b in batches:
             for row in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
@@ -86,156 +121,159 @@ def lay_out(docs: DataFrame, folds: int, id_col: str, text_col: str, chunk_words
     return written(rows.mapInArrow(run, _CHUNKS_DDL), "lm-chunks")
 
 
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each 64-bit context."""
+    return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+def part_keys(keys: np.ndarray, prints: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """The key under which a context's successor is counted: the context's own, or that of a part if it has over HOT_TOKENS."""
+    parts = -(-totals.astype(np.int64) // HOT_TOKENS)
+    part = prints * parts.astype(np.uint64) >> np.uint64(32)
+    return np.where(parts > 1, mix64(keys + (part + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), 55), keys)
+
+
 class Chunk:
-    """A chunk's tokens as hashes, its distinct words, and its distinct pairs (word, successor's fingerprint)."""
-
-    def __init__(self, sizes: list[int], train: list[bool], texts: bytes):
-        at, table = 0, {}
-        order: list[int] = []  # each token's word by first appearance
-        lengths = []
-        place = table.setdefault
-        for size in sizes:
-            words = texts[at : at + size].lower().split()
-            at += size
-            words.append(_END)
-            lengths.append(len(words))
-            order += [place(w, len(table)) for w in words]
-        hashes = np.array([xxhash.xxh64_intdigest(w) for w in table], np.uint64)
-        self.lengths = np.array(lengths, np.int64)
-        self.trains = np.repeat(np.array(train, bool), self.lengths)
+    """A chunk's tokens by the rank of their words' hashes, and its distinct n-grams (context, successor's fingerprint)."""
+
+    def __init__(self, train: list[bool], words: bytes, places: bytes, hot: tuple[np.ndarray, np.ndarray]):
+        (hashes,) = _unpack(words)
+        order, self.lengths = _unpack(places)
         by_hash = np.argsort(hashes)
         self.words = hashes[by_hash]
         rank = np.empty(len(hashes), np.int64)
         rank[by_hash] = np.arange(len(hashes))
-        self.of = rank[np.array(order, np.int64)]
-        tokens = self.words[self.of]
-        starts = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
-        self.before = np.empty(len(tokens), np.int64)
+        self.of = rank[order]
+        self.trains = np.repeat(np.array(train, bool), self.lengths)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.before = np.empty(len(self.of), np.int64)
         self.before[1:] = self.of[:-1]
-        self.before[starts] = rank[table[_END]]
-        self.tokens = tokens
-
-    def pair(self) -> Chunk:
-        """Find the distinct pairs, too."""
-        prints = mix64(self.tokens, 77) >> np.uint64(32)
-        self.pairs, self.pair_of = np.unique(self.before.astype(np.uint64) << np.uint64(32) | prints, return_inverse=True)
-        return self
-
-    def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Training counts of the distinct words and pairs."""
-        return tuple(np.bincount(of[self.trains], minlength=n).astype(np.uint32) for of, n in ((self.of, len(self.words)), (self.pair_of, len(self.pairs))))
-
-    def spans(self, hot: np.ndarray, shards: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """(shard, word indices, pair indices): what goes where, in an order both passes share.
-
-        Shards below `shards` hold words by hash, with the successors of all but the hot; further ones, a
-        part of a hot word's successors each.
+        self.before[self.starts] = np.searchsorted(self.words, _END_HASH)
+        self.prints = mix64(self.words, 77) >> np.uint64(32)
+        self.pairs, self.pair_of = np.unique(self.before.astype(np.uint64) << np.uint64(32) | self.prints[self.of], return_inverse=True)
+        # training counts of frequent words, 0 of others
+        self.known = np.zeros(len(self.words), np.uint64)
+        if len(hot[0]):
+            at = np.minimum(np.searchsorted(hot[0], self.words), len(hot[0]) - 1)
+            self.known = np.where(hot[0][at] == self.words, hot[1][at], np.uint64(0))
+
+    def ask_pairs(self, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, bytes]]:
+        """The first round's questions (`ask`): words with their counts, and what follows them."""
+        v, prints = (self.pairs >> np.uint64(32)).astype(np.int64), self.pairs & np.uint64(0xFFFFFFFF)
+        keys = part_keys(self.words[v], prints, self.known[v])
+        return ask(keys, prints, self.counts(self.pair_of, len(self.pairs)), self.known[v], shards, self.words, self.counts(self.of, len(self.words))[0], self.known)
+
+    def triples(self, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The second round's n-grams, given `seen` (2 x training count, and 1 if there are two or more in all texts) of each pair.
+
+        Each token's context pair, -1 at a text's start; the tokens that ask; and what asks by distinct (context, print).
         """
-        word_of = (self.pairs >> np.uint64(32)).astype(np.int64)
-        is_hot = np.isin(self.words, hot)
-        shard = ((self.words >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-        cut = np.searchsorted(shard, np.arange(shards + 1))
-        cold = np.flatnonzero(~is_hot[word_of])
-        cold_cut = np.searchsorted(word_of[cold], cut)
-        out = [(s, np.arange(cut[s], cut[s + 1]), cold[cold_cut[s] : cold_cut[s + 1]]) for s in range(shards) if cut[s] < cut[s + 1]]
-        for k in np.flatnonzero(is_hot).tolist():
-            lo, hi = np.searchsorted(word_of, [k, k + 1])
-            part = (self.pairs[lo:hi] & np.uint64(0xFFFFFFFF)) * np.uint64(HOT_PARTS) >> np.uint64(32)
-            rank = int(np.searchsorted(hot, self.words[k]))
-            edges = lo + np.searchsorted(part, np.arange(HOT_PARTS + 1))
-            out += [(shards + rank * HOT_PARTS + p, np.array([k]), np.arange(edges[p], edges[p + 1])) for p in range(HOT_PARTS) if edges[p] < edges[p + 1]]
-        return out
-
-
-def _chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Chunk]]:
-    for b in batches:
-        for i in range(b.num_rows):
-            chunk, train, sizes, texts = (b.column(j)[i].as_py() for j in (0, 2, 3, 4))
-            yield chunk, Chunk(sizes, train, texts)
+        context = np.empty(len(self.of), np.int64)
+        context[1:] = self.pair_of[:-1]
+        context[self.starts] = -1
+        asks = np.flatnonzero((context >= 0) & (seen[context] & np.uint64(1) > 0) & (seen[self.pair_of] & np.uint64(1) > 0))
+        return context, asks, context[asks].astype(np.uint64) << np.uint64(32) | self.prints[self.of[asks]]
 
+    def ask_triples(self, seen: np.ndarray, asks: np.ndarray, triples: np.ndarray, shards: int) -> tuple[np.ndarray, Iterator[tuple[int, np.ndarray, np.ndarray, bytes]]]:
+        """Which distinct n-gram each asking token is of, and the questions (`ask`)."""
+        distinct, of = np.unique(triples, return_inverse=True)
+        uv, prints = (distinct >> np.uint64(32)).astype(np.int64), distinct & np.uint64(0xFFFFFFFF)
+        u, v = (self.pairs[uv] >> np.uint64(32)).astype(np.int64), self.pairs[uv] & np.uint64(0xFFFFFFFF)
+        total = seen[uv] >> np.uint64(1)
+        keys = part_keys(mix64(self.words[u], 3) ^ mix64(v, 4), prints, total) & ~np.uint64(0xFFFF)  # 48 bits tell contexts apart
+        return of, ask(keys, prints, self.counts(of, len(distinct), asks), total, shards)
 
-def hot_words(chunks: DataFrame) -> tuple[np.ndarray, int]:
-    """Words with more than HOT_SHARE of all tokens, sorted by hash, and the number of tokens.
+    def counts(self, of: np.ndarray, n: int, tokens: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Of n things that tokens are of: how many in training, and in all texts."""
+        trains = self.trains if tokens is None else self.trains[tokens]
+        return np.bincount(of[trains], minlength=n).astype("<u4"), np.bincount(of, minlength=n).astype("<u4")
 
-    A word counts in chunks where it has a quarter of that share; so every chunk names a bounded number,
-    and the driver gets at most 1 / HOT_SHARE of them.
-    """
-    schema = pa.schema([("word", pa.int64()), ("n", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, c in _chunks_of(batches):
-            n = np.bincount(c.of)
-            at = np.flatnonzero(n > len(c.of) * HOT_SHARE / 4)
-            yield batch_of(schema, {"word": [None, *c.words[at].view(np.int64).tolist()], "n": [len(c.of), *n[at].tolist()]})
-
-    sums = written(chunks.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-frequent")
-    total = sums.filter("word is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    found = sums.filter(F.col("word").isNotNull() & (F.col("n") > total * HOT_SHARE)).select("word").collect()
-    return np.sort(np.array([r["word"] for r in found], np.int64).view(np.uint64)), total
-
-
-def _questions(hot: np.ndarray, shards: int):
-    schema = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("question", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, c in _chunks_of(batches):
-            words, pairs = c.pair().counts()
-            rows: dict[str, list] = {"shard": [], "chunk": [], "question": []}
-            for shard, w, p in c.spans(hot, shards):
-                first = np.searchsorted(c.pairs[p] >> np.uint64(32), w.astype(np.uint64)) if len(p) else np.zeros(len(w), np.int64)
-                prints = (c.pairs[p] & np.uint64(0xFFFFFFFF)).astype("<u4")
-                rows["shard"].append(shard)
-                rows["chunk"].append(chunk)
-                rows["question"].append(_pack(c.words[w], words[w], first.astype("<u4"), prints, pairs[p]))
-            yield batch_of(schema, rows)
-
-    return run
 
+_NONE = np.zeros(0, np.uint64)
+_QUESTIONS = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("question", pa.binary())])
 
-_ANSWERS = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("answer", pa.binary()), ("stats", pa.list_(pa.int64()))])
 
+def ask(keys: np.ndarray, prints: np.ndarray, counts: tuple[np.ndarray, np.ndarray], totals: np.ndarray, shards: int, words: np.ndarray = _NONE, n_words: np.ndarray = _NONE, known: np.ndarray = _NONE) -> Iterator[tuple[int, np.ndarray, np.ndarray, bytes]]:
+    """(shard, n-gram indices, contexts, question) of a chunk's n-grams, in an order that depends on keys and prints alone.
 
-def answer_shard(shard: int, hot_shard: bool, questions: list[tuple[int, bytes]], shards: int) -> Iterator[dict]:
+    A question has the contexts' keys - `words` are contexts, too -, each one's total where it is known, its count here and
+    the pointer to its first successor, and the successors' prints and counts.
+    """
+    order = np.lexsort((prints, keys))
+    ordered = keys[order]
+    contexts = np.union1d(words, ordered)
+    first = np.searchsorted(ordered, contexts)
+    n, total = np.zeros(len(contexts), "<u4"), np.zeros(len(contexts), "<u8")
+    if len(ordered):
+        has = np.minimum(first, len(ordered) - 1)
+        total = np.where(ordered[has] == contexts, totals[order][has], 0).astype("<u8")
+    at = np.searchsorted(contexts, words)
+    n[at], total[at] = n_words, np.maximum(total[at], known)
+    shard = shard_of(contexts, shards)
+    cut = np.searchsorted(shard, np.arange(shards + 1))
+    for s in np.flatnonzero(np.diff(cut)).tolist():
+        lo, hi = cut[s], cut[s + 1]
+        own = order[first[lo] : first[hi] if hi < len(first) else len(order)]
+        yield s, own, contexts[lo:hi], _pack(_rises(contexts[lo:hi]), total[lo:hi], n[lo:hi], _rises((first[lo:hi] - first[lo]).astype("<u4")), prints[own].astype("<u4"), *(c[own] for c in counts))
+
+
+_ANSWERS = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("answer", pa.binary()), ("counts", pa.binary()), ("stats", pa.list_(pa.int64()))])
+_ANSWERS_DDL = "shard long, chunk long, answer binary, counts binary, stats array<long>"
+
+
+def answer_shard(shard: int, questions: list[tuple[int, bytes]], prior: float) -> Iterator[dict]:
     """Add up the questions of one shard, build its trie, and answer each chunk from it.
 
-    The first row has the shard's statistics: tokens, distinct words, words seen once - or, for a part of a
-    hot word's successors, minus one, the word, and its distinct successors here.
+    An answer has values and, for each n-gram, which of them it has: log10 of c(hw) / (c(h) + prior), -inf if not seen in
+    training. Its counts are `seen` of each n-gram (see Chunk.triples) and each context's training count. The first row has
+    the shard's statistics: training tokens, distinct words, words seen once.
     """
     asked = [(chunk, _unpack(q)) for chunk, q in questions]
-    words, of = np.unique(np.concatenate([q[0] for _, q in asked]), return_inverse=True)
-    counts = np.bincount(of, np.concatenate([q[1] for _, q in asked]).astype(float), minlength=len(words)).astype(np.int64)
-    at, keys = 0, []
-    for _, (w, _, first, prints, _) in asked:
-        own = np.repeat(of[at : at + len(w)], np.diff(np.concatenate([first, [len(prints)]]).astype(np.int64)))
-        keys.append(own.astype(np.uint64) << np.uint64(32) | prints)
-        at += len(w)
-    asked_pairs, pair_of = np.unique(np.concatenate(keys), return_inverse=True)
-    seen = np.bincount(pair_of, np.concatenate([q[4] for _, q in asked]).astype(float), minlength=len(asked_pairs))
-    pairs, seen = asked_pairs[seen > 0], seen[seen > 0]
-    # words in order of their hashes are 0, 1, ...: the trie's own ids at level 1
-    ids = np.arange(len(words), dtype=np.uint64)
-    trie = NGramTrie.build([(ids[:, None], np.log10(np.maximum(counts, 1))), (np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1), np.log10(seen))]).mapped()
-    first, end = trie.children(1, np.arange(len(words)))
-    distinct = end - first
-    # each distinct pair is searched once, below its context
-    found = trie.child(1, (asked_pairs >> np.uint64(32)).astype(np.int64), asked_pairs & np.uint64(0xFFFFFFFF))
-    all_codes = np.where(found >= 0, trie.levels[1][3][found].astype("<u2") + 1, 0).astype("<u2") if len(pairs) else np.zeros(len(found), "<u2")
-    book, at, upto = trie.levels[1][2], 0, 0
-    stats = [-1, int(words[:1].view(np.int64)[0]), int(distinct.sum())] if hot_shard else [int(counts.sum()), int((counts > 0).sum()), int((counts == 1).sum())]
-    for (chunk, (w, *_)), key in zip(asked, keys, strict=True):
-        node, codes = of[at : at + len(w)], all_codes[pair_of[upto : upto + len(key)]]
-        at, upto = at + len(w), upto + len(key)
-        c, t = (np.zeros(0, "<u4"),) * 2 if hot_shard else (counts[node].astype("<u4"), distinct[node].astype("<u4"))
-        yield {"shard": shard, "chunk": chunk, "answer": _pack(c, t, book, codes), "stats": stats}
+    contexts, context_of = np.unique(np.concatenate([np.cumsum(q[0], dtype=np.uint64) for _, q in asked]), return_inverse=True)
+    n_context = _sums(context_of, [q[2] for _, q in asked], len(contexts))
+    total = np.zeros(len(contexts), np.uint64)
+    np.maximum.at(total, context_of, np.concatenate([q[1] for _, q in asked]))
+    total = np.where(total > 0, total, n_context)
+    grams, at = [], 0
+    for _, q in asked:
+        first = np.append(np.cumsum(q[3], dtype=np.int64), len(q[4]))
+        own = np.repeat(context_of[at : at + len(q[0])], np.diff(first))
+        grams.append(own.astype(np.uint64) << np.uint64(32) | q[4])
+        at += len(q[0])
+    distinct, gram_of = np.unique(np.concatenate(grams), return_inverse=True)
+    n, n_all = (_sums(gram_of, [q[i] for _, q in asked], len(distinct)) for i in (5, 6))
+    held, n_held = distinct[n > 0], n[n > 0].astype(float)
+    room = total.astype(float) + prior
+    ids = np.arange(len(contexts), dtype=np.uint64)
+    parent = (held >> np.uint64(32)).astype(np.int64)
+    trie = NGramTrie.build([(ids[:, None], np.log10(prior / room)), (np.stack([held >> np.uint64(32), held & np.uint64(0xFFFFFFFF)], 1), np.log10(n_held / room[parent]))]).mapped()
+    # each distinct n-gram is searched once, below its context
+    found = trie.child(1, (distinct >> np.uint64(32)).astype(np.int64), distinct & np.uint64(0xFFFFFFFF))
+    values = np.append(trie.levels[1][2], -np.inf).astype("<f4")
+    codes = np.full(len(found), len(values) - 1, np.int64)
+    if len(held):
+        codes[found >= 0] = trie.levels[1][3][found[found >= 0]]
+    seen = n * np.uint64(2) + (n_all > 1).astype(np.uint64)
+    stats, at, upto = [int(n_context.sum()), int((n_context > 0).sum()), int((n_context == 1).sum())], 0, 0
+    for (chunk, q), own in zip(asked, grams, strict=True):
+        i, c = gram_of[at : at + len(own)], context_of[upto : upto + len(q[0])]
+        at, upto = at + len(own), upto + len(c)
+        used, which = np.unique(codes[i], return_inverse=True)
+        yield {"shard": shard, "chunk": chunk, "answer": _pack(values[used], which.astype("<u2")), "counts": _pack(seen[i], n_context[c]), "stats": stats}
         stats = None
 
 
-def _answers(shards: int):
+def _sums(of: np.ndarray, counts: list[np.ndarray], n: int) -> np.ndarray:
+    """Sums of the counts by `of`, exact to 2^53."""
+    return np.bincount(of, np.concatenate(counts).astype(float), minlength=n).astype(np.uint64)
+
+
+def _answers(prior: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held = None, []
 
         def out() -> Iterator[pa.RecordBatch]:
-            for row in answer_shard(shard, shard >= shards, held, shards):
+            for row in answer_shard(shard, held, prior):
                 yield batch_of(_ANSWERS, {k: [v] for k, v in row.items()})
 
         for b in batches:
@@ -251,40 +289,141 @@ def _answers(shards: int):
     return run
 
 
+def _answered(questions: DataFrame, prior: float, label: str) -> DataFrame:
+    """The answers of both rounds' questions, written."""
+    dealt = questions.repartition("shard").sortWithinPartitions("shard", "chunk")
+    return written(dealt.mapInArrow(_answers(prior), _ANSWERS_DDL), label)
+
+
+#: Frequent words that travel with the tasks; if there are more, each chunk gets its own by a join.
+HOT_SHIPPED = 100_000
+
+
+_COUNTED = pa.schema([("chunk", pa.int64()), ("word", pa.int64()), ("n", pa.int64()), ("trained", pa.int64())])
+
+
+def _word_counts(which):
+    """Counts of those of a chunk's words for which `which(hashes, counts)` holds: (chunk, word, n, trained)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            (hashes,), (of, lengths) = _unpack(row["words"]), _unpack(row["places"])
+            n = np.bincount(of, minlength=len(hashes))
+            trained = np.bincount(of[np.repeat(np.array(row["train"], bool), lengths)], minlength=len(hashes))
+            at = np.flatnonzero(which(hashes, n))
+            yield batch_of(_COUNTED, {"chunk": np.full(len(at), row["chunk"]), "word": hashes[at].view(np.int64), "n": n[at], "trained": trained[at]})
+
+    return run
+
+
+def hot_words(chunks: DataFrame, tokens: int) -> tuple[DataFrame, np.ndarray | None]:
+    """The chunks and all words of about HOT_TOKENS tokens and more with their training counts, sorted by hash.
+
+    Where these are more than HOT_SHIPPED, none are given, but chunks have a column `hot` of their own ones.
+    """
+    share = HOT_TOKENS / max(tokens, 1) / 4  # to be found, a word counts in chunks where it has a quarter of that share
+    bare = chunks.select("chunk", "train", "words", "places")
+    counted = lambda which: bare.mapInArrow(_word_counts(which), "chunk long, word long, n long, trained long")
+    found = counted(lambda _, n: n > n.sum() * share).groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") > HOT_TOKENS)
+    found = written(found.select("word"), "lm-frequent")
+    if found.count() <= HOT_SHIPPED:
+        hot = np.sort(np.array([r["word"] for r in found.collect()], np.int64).view(np.uint64))
+        exact = {r["word"]: r["n"] for r in counted(lambda h, _: np.isin(h, hot)).groupBy("word").agg(F.sum("trained").alias("n")).collect()}
+        return chunks, np.array([hot, [exact[w] for w in hot.view(np.int64).tolist()]], np.uint64).reshape(2, -1)
+    own = written(counted(lambda h, _: np.ones(len(h), bool)).join(found, "word"), "lm-frequent-in")
+    exact = own.groupBy("word").agg(F.sum("trained").alias("trained"))
+    mine = own.select("chunk", "word").join(exact, "word").groupBy("chunk").agg(F.collect_list(F.struct("word", "trained")).alias("hot"))
+    return chunks.join(mine, "chunk", "left"), None
+
+
+def _chunk_of(row: dict, hot: np.ndarray | None) -> Chunk:
+    if hot is None:
+        own = np.array([[x["word"], x["trained"]] for x in row["hot"] or []], np.int64).reshape(-1, 2).T.copy().view(np.uint64)
+        hot = own[:, np.argsort(own[0])]
+    return Chunk(row["train"], row["words"], row["places"], hot)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for b in batches:
+        for i in range(b.num_rows):
+            yield {name: b.column(j)[i].as_py() for j, name in enumerate(b.schema.names)}
+
+
+def _ask_pairs(hot: np.ndarray | None, shards: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            for shard, _, _, question in _chunk_of(row, hot).ask_pairs(shards):
+                yield batch_of(_QUESTIONS, {"shard": [shard], "chunk": [row["chunk"]], "question": [question]})
+
+    return run
+
+
+def _seen_of(c: Chunk, counts: dict[int, bytes], shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """(`seen` of each pair, training count of each word) from the first round's counts."""
+    seen, n_word = np.zeros(len(c.pairs), np.uint64), np.zeros(len(c.words), np.uint64)
+    for shard, at, contexts, _ in c.ask_pairs(shards):
+        seen[at], n = _unpack(counts[shard])
+        place = np.minimum(np.searchsorted(c.words, contexts), len(c.words) - 1)
+        own = c.words[place] == contexts
+        n_word[place[own]] = n[own]
+    return seen, n_word
+
+
+def _ask_triples(hot: np.ndarray | None, shards: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            c = _chunk_of(row, hot)
+            seen, _ = _seen_of(c, {a["shard"]: a["counts"] for a in row["counted"]}, shards)
+            _, asks, triples = c.triples(seen)
+            for shard, _, _, question in c.ask_triples(seen, asks, triples, shards)[1]:
+                yield batch_of(_QUESTIONS, {"shard": [shard], "chunk": [row["chunk"]], "question": [question]})
+
+    return run
+
+
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _score(hot: np.ndarray, hot_t: np.ndarray, shards: int, total: int, distinct: int, once: int):
+def _answered_values(questions: Iterator[tuple], answers: dict[int, bytes], n: int) -> np.ndarray:
+    """c(hw) / (c(h) + prior) of n n-grams, from the tries' answers."""
+    out = np.zeros(n)
+    for shard, at, _, _ in questions:
+        values, which = _unpack(answers[shard])
+        out[at] = 10.0 ** values.astype(float)[which]
+    return out
+
+
+def _score(hot: np.ndarray | None, shards: int, total: int, distinct: int, once: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                _, ids, train, sizes, texts, answers = (b.column(j)[i].as_py() for j in range(6))
-                c = Chunk(sizes, train, texts).pair()
-                got = {a["shard"]: a["answer"] for a in answers}
-                n_w, n_t = np.zeros(len(c.words), np.int64), np.zeros(len(c.words), np.int64)
-                after = np.zeros(len(c.pairs))
-                for shard, w, p in c.spans(hot, shards):
-                    counts, t, book, codes = _unpack(got[shard])
-                    if shard < shards:
-                        n_w[w], n_t[w] = counts, t
-                    after[p] = np.where(codes > 0, 10.0 ** book[np.maximum(codes.astype(np.int64) - 1, 0)], 0.0)
-                at = np.searchsorted(c.words, hot)
-                here = (at < len(c.words)) & (c.words[np.minimum(at, len(c.words) - 1)] == hot)
-                n_t[at[here]] = hot_t[here]
-                base = np.log10((n_w + 0.1) / (total + 0.1 * (distinct + 1)))
-                new = max(once, 1) / max(total, 1) if once < total else 0.5
-                single = np.where(n_w > 0, (1 - new) * n_w / max(total, 1), new)
-                h = c.before
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    p = (after[c.pair_of] + n_t[h] * single[c.of]) / (n_w[h] + n_t[h])
-                p = np.where(n_w[h] + n_t[h] > 0, np.minimum(p, 1.0), single[c.of])
-                cut = np.concatenate([[0], np.cumsum(c.lengths)])[:-1]
-                per = [np.add.reduceat(x, cut) for x in ((n_w > 0)[c.of].astype(np.int64), base[c.of], np.log10(p))]
-                yield batch_of(_SCORES, {"doc_id": ids, "held_out": [not x for x in train], "n_tokens": c.lengths, "n_known": per[0], "base_score": per[1], "score": per[2]})
+        for row in _rows(batches):
+            c = _chunk_of(row, hot)
+            seen, n_word = _seen_of(c, {a["shard"]: a["counts"] for a in row["counted"]}, shards)
+            n_word = n_word.astype(float)
+            base = np.log10((n_word + 0.1) / (total + 0.1 * (distinct + 1)))
+            new = max(once, 1) / max(total, 1) if once < total else 0.5
+            single = np.where(n_word > 0, (1 - new) * n_word / max(total, 1), new)
+            two = _answered_values(c.ask_pairs(shards), {a["shard"]: a["answer"] for a in row["counted"]}, len(c.pairs))
+            h, m = n_word[c.before], PRIOR[1]
+            p = two[c.pair_of] + m / (h + m) * single[c.of]
+            context, asks, triples = c.triples(seen)
+            of, questions = c.ask_triples(seen, asks, triples, shards)
+            three = _answered_values(questions, {a["shard"]: a["answer"] for a in row["answers"] or []}, int(of.max()) + 1 if len(of) else 0)
+            h, m = (seen[context] >> np.uint64(1)).astype(float), PRIOR[2]
+            seen_here = c.trains / (h + m)  # what occurs once in all texts occurs here
+            seen_here[asks] = three[of]
+            p = np.where(context >= 0, seen_here + m / (h + m) * p, p)
+            per = [np.add.reduceat(x, c.starts) for x in ((n_word > 0)[c.of].astype(np.int64), base[c.of], np.log10(np.minimum(p, 1.0)))]
+            yield batch_of(_SCORES, {"doc_id": row["ids"], "held_out": [not x for x in row["train"]], "n_tokens": c.lengths, "n_known": per[0], "base_score": per[1], "score": per[2]})
 
     return run
 
 
+def _released(spark) -> None:
+    """Let Spark's cleaner delete the shuffle files of frames that are gone."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def score_texts(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: str = "text", chunk_words: int = CHUNK_WORDS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -292,16 +431,18 @@ def score_texts(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_c
     the end mark alone. Repeated rows count and are scored each. An empty table gives an empty one; if all rows
     are held out, nothing is known and the model knows unseen words only. Other columns are not read.
     """
+    spark = docs.sparkSession
     chunks = lay_out(docs, folds, id_col, text_col, chunk_words)
-    hot, tokens = hot_words(chunks)
-    shards = max(1, -(-tokens // shard_tokens))
-    asked = chunks.mapInArrow(_questions(hot, shards), "shard long, chunk long, question binary")
-    dealt = asked.repartition("shard").sortWithinPartitions("shard", "chunk")
-    answers = written(dealt.mapInArrow(_answers(shards), "shard long, chunk long, answer binary, stats array<long>"), "lm-answers")
-    stats = answers.filter("stats is not null").select(*(F.col("stats")[i].alias(c) for i, c in enumerate("abc")))
-    whole = stats.filter("a >= 0").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in "abc")).first()
-    parts = {r["b"]: r["t"] for r in stats.filter("a < 0").groupBy("b").agg(F.sum("c").alias("t")).collect()}  # hot words only
-    hot_t = np.array([parts.get(w, 0) for w in hot.view(np.int64).tolist()], np.int64)
-    mine = answers.groupBy("chunk").agg(F.collect_list(F.struct("shard", "answer")).alias("answers"))  # as large as the chunk
-    scored = chunks.join(mine, "chunk").mapInArrow(_score(hot, hot_t, shards, *whole), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    tokens = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    shards = max(1, -(-tokens // shard_tokens), min(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // LEAST_TOKENS))
+    chunks, hot = hot_words(chunks, tokens)
+    first = _answered(chunks.drop("ids", "tokens").mapInArrow(_ask_pairs(hot, shards), "shard long, chunk long, question binary"), PRIOR[1], "lm-first")
+    _released(spark)
+    whole = first.filter("stats is not null").agg(*(F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)) for i in range(3))).first()
+    mine = lambda answers, name, *columns: answers.groupBy("chunk").agg(F.collect_list(F.struct("shard", *columns)).alias(name))  # noqa: E731  as large as the chunk
+    second = chunks.drop("ids", "tokens").join(mine(first, "counted", "counts"), "chunk").mapInArrow(_ask_triples(hot, shards), "shard long, chunk long, question binary")
+    second = _answered(second, PRIOR[2], "lm-second")
+    _released(spark)
+    met = chunks.drop("tokens").join(mine(first, "counted", "counts", "answer"), "chunk").join(mine(second, "answers", "answer"), "chunk", "left")
+    scored = met.mapInArrow(_score(hot, shards, *whole), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(whole[0]).cast("long").alias("train_tokens"), "base_score", "score")

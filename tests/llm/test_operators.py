@@ -375,31 +375,66 @@ def test_components_of_a_path(spark):
     assert got == {i: 0 if i <= 30 else 31 for i in range(61)}
 
 
-def test_lm_scores(spark, docs, none, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "HOT_SHARE", 0.02)
+@pytest.mark.parametrize("hot,shipped", [(10**9, 10), (25, 1000), (25, 0)])
+def test_lm_scores(spark, docs, none, monkeypatch, hot, shipped):
+    """Scores of order 3 by brute force; frequent contexts split or not, their counts shipped or joined."""
+    monkeypatch.setattr(lm_scoring, "HOT_TOKENS", hot)
+    monkeypatch.setattr(lm_scoring, "HOT_SHIPPED", shipped)
     got = lm_scoring.score_texts(docs, chunk_words=300, shard_tokens=400).collect()
     data = [(r[0], [*(w.encode() for w in words(fold(text(r)))), b""]) for r in rows()]
     held = [d is not None and zlib.crc32(str(d).encode()) % 10 == 0 for d, _ in data]
-    c, pairs = Counter(), Counter()
+    c, pairs, triples = Counter(), Counter(), Counter()
     for (_, t), h in zip(data, held, strict=True):
         if not h:
             c.update(t)
             pairs.update(zip([b"", *t], t, strict=False))
+            triples.update(zip([b"", *t], t, t[1:], strict=False))
     total, distinct, once = sum(c.values()), len(c), sum(v == 1 for v in c.values())
-    after = Counter(a for a, _ in pairs)
 
-    def single(w):
-        return (1 - once / total) * c[w] / total if c[w] else once / total
+    def p(t, i):
+        w, v = t[i], t[i - 1] if i else b""
+        one = (1 - once / total) * c[w] / total if c[w] else once / total
+        two = (pairs[v, w] + lm_scoring.PRIOR[1] * one) / (c[v] + lm_scoring.PRIOR[1])
+        if not i:
+            return two
+        u = t[i - 2] if i > 1 else b""
+        return (triples[u, v, w] + lm_scoring.PRIOR[2] * two) / (pairs[u, v] + lm_scoring.PRIOR[2])
 
-    want = []
+    want = {}
     for (d, t), h in zip(data, held, strict=True):
         base = sum(math.log10((c[w] + 0.1) / (total + 0.1 * (distinct + 1))) for w in t)
-        score = sum(math.log10((pairs[a, w] + after[a] * single(w)) / (c[a] + after[a]) if c[a] else single(w)) for a, w in zip([b"", *t], t, strict=False))
-        want.append((-1 if d is None else d, h, len(t), sum(c[w] > 0 for w in t), total, round(base, 6), round(score, 4)))
-    assert sorted((-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 4)) for r in got) == sorted(want)
+        want[d, len(t), base] = (h, sum(c[w] > 0 for w in t), total, sum(math.log10(p(t, i)) for i in range(len(t))))
+    assert len(got) == len(data)
+    for r in got:
+        (key,) = [k for k in want if k[:2] == (r.doc_id, r.n_tokens) and abs(k[2] - r.base_score) < 1e-6 * max(1, abs(k[2]))]
+        assert (r.held_out, r.n_known, r.train_tokens) == want[key][:3]
+        assert r.score == pytest.approx(want[key][3], rel=2e-5), key
     assert lm_scoring.score_texts(none).count() == 0
 
 
+def test_lm_counts_beyond_32_bits():
+    """What many chunks have together is counted exactly, whatever its size."""
+    big = 3_000_000_000
+    counts = (np.array([big], "<u4"), np.array([big], "<u4"))
+    word, print_ = np.array([5 << 40], np.uint64), np.array([9], np.uint64)
+    question = next(lm_scoring.ask(word, print_, counts, np.zeros(1, np.uint64), 1, word, np.array([big], "<u4"), np.zeros(1, np.uint64)))[3]
+    a, b = lm_scoring.answer_shard(0, [(1, question), (2, question)], 50.0)
+    assert a["stats"] == [2 * big, 1, 0] and b["stats"] is None
+    for row in (a, b):
+        seen, n = lm_scoring._unpack(row["counts"])
+        values, which = lm_scoring._unpack(row["answer"])
+        assert seen.tolist() == [4 * big + 1] and n.tolist() == [2 * big]
+        assert 10 ** float(values[which[0]]) == pytest.approx(2 * big / (2 * big + 50))
+
+
+def test_lm_parts_of_a_frequent_context_are_even():
+    rng = np.random.default_rng(1)
+    prints = rng.integers(0, 2**32, 10_000).astype(np.uint64)
+    keys = lm_scoring.part_keys(np.full(10_000, 77, np.uint64), prints, np.full(10_000, 8 * lm_scoring.HOT_TOKENS, np.uint64))
+    assert sorted(Counter(keys.tolist()).values())[0] > 1_000 and len(set(keys.tolist())) == 8
+    assert (lm_scoring.part_keys(keys, prints, np.zeros(10_000, np.uint64)) == keys).all()
+
+
 def test_quality(spark, docs, none):
     rng = np.random.default_rng(3)
     plain = [" ".join(rng.choice(["the", "house", "stands", "near", "a", "river.", "people", "walk"], 60)) for _ in range(150)]
