@@ -37,9 +37,9 @@ from .ngram_trie import NGramTrie
 from .token_store import mix64
 
 #: Words of a chunk, and tokens for each shard, about: what a task holds at a time. Small inputs get more, smaller shards.
-CHUNK_WORDS, SHARD_TOKENS, LEAST_TOKENS = 1_000_000, 500_000, 50_000
+CHUNK_WORDS, SHARD_TOKENS, LEAST_TOKENS = 1_000_000, 1_000_000, 50_000
 #: Tokens of a context in one shard at most.
-HOT_TOKENS = 125_000
+HOT_TOKENS = 250_000
 #: The weight of the lower order, in tokens, by length of context.
 PRIOR = {1: 50.0, 2: 4.0}
 _END = b""  # no word is empty
@@ -157,11 +157,14 @@ class Chunk:
             at = np.minimum(np.searchsorted(hot[0], self.words), len(hot[0]) - 1)
             self.known = np.where(hot[0][at] == self.words, hot[1][at], np.uint64(0))
 
-    def ask_pairs(self, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, bytes]]:
-        """The first round's questions (`ask`): words with their counts, and what follows them."""
+    def asked_pairs(self, shards: int) -> Asked:
+        """The first round's n-grams: words, and what follows them."""
         v, prints = (self.pairs >> np.uint64(32)).astype(np.int64), self.pairs & np.uint64(0xFFFFFFFF)
-        keys = part_keys(self.words[v], prints, self.known[v])
-        return ask(keys, prints, self.counts(self.pair_of, len(self.pairs)), self.known[v], shards, self.words, self.counts(self.of, len(self.words))[0], self.known)
+        return Asked(part_keys(self.words[v], prints, self.known[v]), prints, self.known[v], shards, self.words)
+
+    def pair_questions(self, shards: int) -> Iterator[tuple[int, bytes]]:
+        n_words = self.counts(self.of, len(self.words))[0]
+        return self.asked_pairs(shards).questions(self.counts(self.pair_of, len(self.pairs)), n_words, self.known)
 
     def triples(self, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The second round's n-grams, given `seen` (2 x training count, and 1 if there are two or more in all texts) of each pair.
@@ -174,14 +177,14 @@ class Chunk:
         asks = np.flatnonzero((context >= 0) & (seen[context] & np.uint64(1) > 0) & (seen[self.pair_of] & np.uint64(1) > 0))
         return context, asks, context[asks].astype(np.uint64) << np.uint64(32) | self.prints[self.of[asks]]
 
-    def ask_triples(self, seen: np.ndarray, asks: np.ndarray, triples: np.ndarray, shards: int) -> tuple[np.ndarray, Iterator[tuple[int, np.ndarray, np.ndarray, bytes]]]:
-        """Which distinct n-gram each asking token is of, and the questions (`ask`)."""
+    def asked_triples(self, seen: np.ndarray, triples: np.ndarray, shards: int) -> tuple[np.ndarray, Asked]:
+        """Which distinct n-gram each asking token is of, and these n-grams."""
         distinct, of = np.unique(triples, return_inverse=True)
         uv, prints = (distinct >> np.uint64(32)).astype(np.int64), distinct & np.uint64(0xFFFFFFFF)
         u, v = (self.pairs[uv] >> np.uint64(32)).astype(np.int64), self.pairs[uv] & np.uint64(0xFFFFFFFF)
         total = seen[uv] >> np.uint64(1)
         keys = part_keys(mix64(self.words[u], 3) ^ mix64(v, 4), prints, total) & ~np.uint64(0xFFFF)  # 48 bits tell contexts apart
-        return of, ask(keys, prints, self.counts(of, len(distinct), asks), total, shards)
+        return of, Asked(keys, prints, total, shards)
 
     def counts(self, of: np.ndarray, n: int, tokens: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Of n things that tokens are of: how many in training, and in all texts."""
@@ -193,28 +196,38 @@ _NONE = np.zeros(0, np.uint64)
 _QUESTIONS = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("question", pa.binary())])
 
 
-def ask(keys: np.ndarray, prints: np.ndarray, counts: tuple[np.ndarray, np.ndarray], totals: np.ndarray, shards: int, words: np.ndarray = _NONE, n_words: np.ndarray = _NONE, known: np.ndarray = _NONE) -> Iterator[tuple[int, np.ndarray, np.ndarray, bytes]]:
-    """(shard, n-gram indices, contexts, question) of a chunk's n-grams, in an order that depends on keys and prints alone.
+class Asked:
+    """A chunk's n-grams by shard, in an order that depends on the chunk alone.
 
-    A question has the contexts' keys - `words` are contexts, too -, each one's total where it is known, its count here and
-    the pointer to its first successor, and the successors' prints and counts.
+    `words` are contexts, too. A shard's question has the contexts' keys, each one's total where it is known, its count here
+    and the pointer to its first successor, and the successors' prints and counts.
     """
-    order = np.lexsort((prints, keys))
-    ordered = keys[order]
-    contexts = np.union1d(words, ordered)
-    first = np.searchsorted(ordered, contexts)
-    n, total = np.zeros(len(contexts), "<u4"), np.zeros(len(contexts), "<u8")
-    if len(ordered):
-        has = np.minimum(first, len(ordered) - 1)
-        total = np.where(ordered[has] == contexts, totals[order][has], 0).astype("<u8")
-    at = np.searchsorted(contexts, words)
-    n[at], total[at] = n_words, np.maximum(total[at], known)
-    shard = shard_of(contexts, shards)
-    cut = np.searchsorted(shard, np.arange(shards + 1))
-    for s in np.flatnonzero(np.diff(cut)).tolist():
-        lo, hi = cut[s], cut[s + 1]
-        own = order[first[lo] : first[hi] if hi < len(first) else len(order)]
-        yield s, own, contexts[lo:hi], _pack(_rises(contexts[lo:hi]), total[lo:hi], n[lo:hi], _rises((first[lo:hi] - first[lo]).astype("<u4")), prints[own].astype("<u4"), *(c[own] for c in counts))
+
+    def __init__(self, keys: np.ndarray, prints: np.ndarray, totals: np.ndarray, shards: int, words: np.ndarray = _NONE):
+        self.keys, self.prints, self.totals, self.words = keys, prints, totals, words
+        self.order = np.argsort(keys, kind="stable")
+        ordered = keys[self.order]
+        new = np.concatenate([ordered[:1] == ordered[:1], ordered[1:] != ordered[:-1]])
+        self.contexts = np.union1d(words, ordered[new]) if len(words) else ordered[new]
+        self.first = np.append(np.searchsorted(ordered, self.contexts), len(ordered))
+        self.cut = np.searchsorted(shard_of(self.contexts, shards), np.arange(shards + 1))
+
+    def spans(self) -> Iterator[tuple[int, np.ndarray, slice]]:
+        """(shard, n-gram indices, contexts) of each shard that has any."""
+        for s in np.flatnonzero(np.diff(self.cut)).tolist():
+            lo, hi = int(self.cut[s]), int(self.cut[s + 1])
+            yield s, self.order[self.first[lo] : self.first[hi]], slice(lo, hi)
+
+    def questions(self, counts: tuple[np.ndarray, np.ndarray], n_words: np.ndarray = _NONE, known: np.ndarray = _NONE) -> Iterator[tuple[int, bytes]]:
+        n, total = np.zeros(len(self.contexts), "<u4"), np.zeros(len(self.contexts), "<u8")
+        has = self.first[:-1] < self.first[1:]
+        total[has] = self.totals[self.order[self.first[:-1][has]]]
+        at = np.searchsorted(self.contexts, self.words)
+        n[at], total[at] = n_words, np.maximum(total[at], known)
+        prints = self.prints.astype("<u4")
+        for s, own, c in self.spans():
+            first = (self.first[:-1][c] - self.first[c.start]).astype("<u4")
+            yield s, _pack(_rises(self.contexts[c]), total[c], n[c], _rises(first), prints[own], *(x[own] for x in counts))
 
 
 _ANSWERS = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("answer", pa.binary()), ("counts", pa.binary()), ("stats", pa.list_(pa.int64()))])
@@ -352,31 +365,32 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 def _ask_pairs(hot: np.ndarray | None, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            for shard, _, _, question in _chunk_of(row, hot).ask_pairs(shards):
-                yield batch_of(_QUESTIONS, {"shard": [shard], "chunk": [row["chunk"]], "question": [question]})
+            yield from _question_rows(row["chunk"], _chunk_of(row, hot).pair_questions(shards))
 
     return run
 
 
-def _seen_of(c: Chunk, counts: dict[int, bytes], shards: int) -> tuple[np.ndarray, np.ndarray]:
+def _question_rows(chunk: int, questions: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    shards, packed = zip(*questions, strict=True) if (questions := list(questions)) else ((), ())
+    yield batch_of(_QUESTIONS, {"shard": shards, "chunk": [chunk] * len(shards), "question": packed})  # as large as the chunk
+
+
+def _seen_of(c: Chunk, asked: Asked, counts: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(`seen` of each pair, training count of each word) from the first round's counts."""
-    seen, n_word = np.zeros(len(c.pairs), np.uint64), np.zeros(len(c.words), np.uint64)
-    for shard, at, contexts, _ in c.ask_pairs(shards):
-        seen[at], n = _unpack(counts[shard])
-        place = np.minimum(np.searchsorted(c.words, contexts), len(c.words) - 1)
-        own = c.words[place] == contexts
-        n_word[place[own]] = n[own]
-    return seen, n_word
+    seen, n = np.zeros(len(c.pairs), np.uint64), np.zeros(len(asked.contexts), np.uint64)
+    for shard, at, contexts in asked.spans():
+        seen[at], n[contexts] = _unpack(counts[shard])
+    return seen, n[np.searchsorted(asked.contexts, c.words)]
 
 
 def _ask_triples(hot: np.ndarray | None, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             c = _chunk_of(row, hot)
-            seen, _ = _seen_of(c, {a["shard"]: a["counts"] for a in row["counted"]}, shards)
+            seen, _ = _seen_of(c, c.asked_pairs(shards), {a["shard"]: a["counts"] for a in row["counted"]})
             _, asks, triples = c.triples(seen)
-            for shard, _, _, question in c.ask_triples(seen, asks, triples, shards)[1]:
-                yield batch_of(_QUESTIONS, {"shard": [shard], "chunk": [row["chunk"]], "question": [question]})
+            of, asked = c.asked_triples(seen, triples, shards)
+            yield from _question_rows(row["chunk"], asked.questions(c.counts(of, len(asked.keys), asks)))
 
     return run
 
@@ -384,12 +398,12 @@ def _ask_triples(hot: np.ndarray | None, shards: int):
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _answered_values(questions: Iterator[tuple], answers: dict[int, bytes], n: int) -> np.ndarray:
-    """c(hw) / (c(h) + prior) of n n-grams, from the tries' answers."""
-    out = np.zeros(n)
-    for shard, at, _, _ in questions:
+def _answered_values(asked: Asked, answers: dict[int, bytes]) -> np.ndarray:
+    """c(hw) / (c(h) + prior) of each n-gram, from the tries' answers."""
+    out = np.zeros(len(asked.keys))
+    for shard, at, _ in asked.spans():
         values, which = _unpack(answers[shard])
-        out[at] = 10.0 ** values.astype(float)[which]
+        out[at] = (10.0 ** values.astype(float))[which]
     return out
 
 
@@ -397,17 +411,18 @@ def _score(hot: np.ndarray | None, shards: int, total: int, distinct: int, once:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             c = _chunk_of(row, hot)
-            seen, n_word = _seen_of(c, {a["shard"]: a["counts"] for a in row["counted"]}, shards)
+            asked = c.asked_pairs(shards)
+            seen, n_word = _seen_of(c, asked, {a["shard"]: a["counts"] for a in row["counted"]})
             n_word = n_word.astype(float)
             base = np.log10((n_word + 0.1) / (total + 0.1 * (distinct + 1)))
             new = max(once, 1) / max(total, 1) if once < total else 0.5
             single = np.where(n_word > 0, (1 - new) * n_word / max(total, 1), new)
-            two = _answered_values(c.ask_pairs(shards), {a["shard"]: a["answer"] for a in row["counted"]}, len(c.pairs))
+            two = _answered_values(asked, {a["shard"]: a["answer"] for a in row["counted"]})
             h, m = n_word[c.before], PRIOR[1]
             p = two[c.pair_of] + m / (h + m) * single[c.of]
             context, asks, triples = c.triples(seen)
-            of, questions = c.ask_triples(seen, asks, triples, shards)
-            three = _answered_values(questions, {a["shard"]: a["answer"] for a in row["answers"] or []}, int(of.max()) + 1 if len(of) else 0)
+            of, asked = c.asked_triples(seen, triples, shards)
+            three = _answered_values(asked, {a["shard"]: a["answer"] for a in row["answers"] or []})
             h, m = (seen[context] >> np.uint64(1)).astype(float), PRIOR[2]
             seen_here = c.trains / (h + m)  # what occurs once in all texts occurs here
             seen_here[asks] = three[of]
@@ -437,12 +452,11 @@ def score_texts(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_c
     shards = max(1, -(-tokens // shard_tokens), min(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // LEAST_TOKENS))
     chunks, hot = hot_words(chunks, tokens)
     first = _answered(chunks.drop("ids", "tokens").mapInArrow(_ask_pairs(hot, shards), "shard long, chunk long, question binary"), PRIOR[1], "lm-first")
-    _released(spark)
     whole = first.filter("stats is not null").agg(*(F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)) for i in range(3))).first()
+    _released(spark)
     mine = lambda answers, name, *columns: answers.groupBy("chunk").agg(F.collect_list(F.struct("shard", *columns)).alias(name))  # noqa: E731  as large as the chunk
     second = chunks.drop("ids", "tokens").join(mine(first, "counted", "counts"), "chunk").mapInArrow(_ask_triples(hot, shards), "shard long, chunk long, question binary")
     second = _answered(second, PRIOR[2], "lm-second")
-    _released(spark)
     met = chunks.drop("tokens").join(mine(first, "counted", "counts", "answer"), "chunk").join(mine(second, "answers", "answer"), "chunk", "left")
     scored = met.mapInArrow(_score(hot, shards, *whole), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(whole[0]).cast("long").alias("train_tokens"), "base_score", "score")

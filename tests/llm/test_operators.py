@@ -417,7 +417,8 @@ def test_lm_counts_beyond_32_bits():
     big = 3_000_000_000
     counts = (np.array([big], "<u4"), np.array([big], "<u4"))
     word, print_ = np.array([5 << 40], np.uint64), np.array([9], np.uint64)
-    question = next(lm_scoring.ask(word, print_, counts, np.zeros(1, np.uint64), 1, word, np.array([big], "<u4"), np.zeros(1, np.uint64)))[3]
+    asked = lm_scoring.Asked(word, print_, np.zeros(1, np.uint64), 1, word)
+    ((_, question),) = asked.questions(counts, np.array([big], "<u4"), np.zeros(1, np.uint64))
     a, b = lm_scoring.answer_shard(0, [(1, question), (2, question)], 50.0)
     assert a["stats"] == [2 * big, 1, 0] and b["stats"] is None
     for row in (a, b):
