@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -39,11 +40,13 @@ def bounded_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir of the session.
 
-    Only where it is unset (as in tests on one machine) a temporary folder is made and set.
+    Where it is unset a temporary folder is made and set, on one machine (as in tests) only.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="reprolith-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -58,12 +61,18 @@ def scratch(spark: SparkSession, label: str) -> str:
     return _made[-1]
 
 
-def clean_scratch(spark: SparkSession) -> int:
-    """Delete what this process wrote to the shared folder; call it when the results are stored elsewhere."""
-    n = len(_made)
-    while _made:
-        drop_path(spark, _made.pop())
-    return n
+def scratch_count() -> int:
+    """How many paths this process has made so far and not deleted."""
+    return len(_made)
+
+
+def clean_scratch(spark: SparkSession, since: int = 0, keep: str | None = None) -> int:
+    """Delete what this process wrote to the shared folder, or after `since` paths, but for `keep`; call it when the results are stored elsewhere."""
+    gone = [p for p in _made[since:] if p != keep]
+    for path in gone:
+        drop_path(spark, path)
+        _made.remove(path)
+    return len(gone)
 
 
 def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:

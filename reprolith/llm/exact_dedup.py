@@ -7,9 +7,9 @@ The work is in three steps.
    copies leaves a task as few rows however large it is.
 2. Rows meet by a 64-bit hash of the content. `GraceTable` inserts them in an open-addressing table
    of bounded bytes; if the distinct contents outgrow it, table and rest are dealt to spill files by
-   other bits of the hash, and each file is treated the same way, as deep as it takes. Equality is
-   always that of complete contents; hashes only deal rows out.
-3. Every row of the input finds its group by (sha256, salt). The salt is a function of the row's id
+   other bits of the hash, and each file is treated the same way, as deep as it takes. Groups are
+   made by comparing complete contents; hashes only deal rows out.
+3. Every row of the input finds its group by (sha256, salt): here equal digests stand for equal contents. The salt is a function of the row's id
    with SALTS values, and the group side has one row per salt it holds, so a group with a third of
    all rows is dealt over SALTS keys and Spark's skew join can split further.
 """
@@ -186,12 +186,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, all columns, that `exact_dedup` keeps."""
+    """The rows of `docs`, all columns, that `exact_dedup` keeps: one of each group of equal texts, null as empty.
+
+    Of rows alike in id and text the one whose columns have the least hash stays. Empty in, empty out.
+    """
     groups = content_groups(docs, id_col, text_col)
     g = groups.select(F.col("sha").alias("__sha"), F.col("salt").alias("__salt"), F.col("keep_id").alias("__keep"), F.col("n_top").alias("__n_top"))
     rows = _keyed(docs, id_col, text_col)
     out = rows.join(g, ["__sha", "__salt"]).filter(F.col(id_col).cast("long").eqNullSafe(F.col("__keep")))
     if not groups.filter("n_top > 1").isEmpty():
-        once = out.filter("__n_top > 1").dropDuplicates(["__sha"])
-        out = out.filter("__n_top = 1").unionByName(once)
+        once = out.filter("__n_top > 1").groupBy("__sha").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("__row")).select("__row.*")
+        out = out.filter("__n_top = 1").select(*docs.columns).unionByName(once)
     return out.select(*docs.columns)

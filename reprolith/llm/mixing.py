@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from .common import WORD_PATTERN, written
 
 #: About the rows of a bucket, in hash order and in time order; buckets at most (their sums meet in one window).
-BUCKET_ROWS, MAX_BUCKETS = 1_000, 1 << 16
+BUCKET_ROWS, MAX_BUCKETS = 250, 1 << 16
+#: Slices of time that are one row in the first search for the budget's end.
+SLICES = 1 << 12
 MAX_EPOCHS = 3
 
 
@@ -76,10 +78,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = MAX_
         return F.floor((epoch * F.col("source_size") + F.col("upto")) / F.nullif(F.col("target"), F.lit(0.0)) * buckets)
 
     epochs = queue.filter("size > 0 and target > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(cap - 1)))).withColumn("t", slice_of(F.col("epoch")))
-    by_time = epochs.groupBy("t").agg(F.sum("size").alias("w"))
-    ahead = F.sum("w").over(Window.orderBy("t").rowsBetween(Window.unboundedPreceding, -1))
-    edge = by_time.withColumn("ahead", F.coalesce(ahead, F.lit(0))).filter(F.col("ahead") + F.col("w") >= facts["budget"]).orderBy("t").first()
-    at, ahead = (edge["t"], edge["ahead"]) if edge else (1 << 62, 0)
+    at, ahead = budget_end(written(epochs.groupBy("t").agg(F.sum("size").alias("w")), "mix-slices"), facts["budget"])
 
     # before the slice in which the budget ends all is taken, in it what still fits, in order of time
     finish = (F.col("epoch") * F.col("source_size") + F.col("upto")) / F.col("target")
@@ -92,6 +91,23 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = MAX_
     return out.select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"))
 
 
+def budget_end(by_time: DataFrame, budget: int) -> tuple[int, int]:
+    """The slice of (t, w) in which the running sum of w reaches the budget, and the sum before it; beyond all slices if none does.
+
+    Runs of SLICES slices are searched first, then the slices of one run, so no window holds all slices.
+    """
+
+    def first(rows: DataFrame, key: str, before: int) -> tuple[int, int] | None:
+        ahead = F.coalesce(F.sum("w").over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + before
+        row = rows.withColumn("ahead", ahead).filter(F.col("ahead") + F.col("w") >= budget).orderBy(key).first()
+        return row and (row[key], row["ahead"])
+
+    runs = by_time.groupBy(F.floor(F.col("t") / SLICES).alias("run")).agg(F.sum("w").alias("w"))
+    run = first(runs, "run", 0)
+    end = run and first(by_time.filter(F.floor(F.col("t") / SLICES) == run[0]), "t", run[1])
+    return end or (1 << 62, 0)
+
+
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = MAX_EPOCHS, seed: int = 7) -> DataFrame:
     """The rows of `docs`, all columns, as often as the mix takes them; rows that it doesn't take go."""
     plan = mix(docs, weights, cap, seed).filter("taken > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), (F.col("taken") / F.col("size")).cast("int").alias("__n"))

@@ -148,7 +148,10 @@ def classify(docs: DataFrame, labels: DataFrame, cut_score: float = 0.3, fit_row
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut_score: float = 0.3, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The rows of `docs`, all columns, that the classifier accepts; the text alone goes to Python."""
+    """The rows of `docs`, all columns, that the classifier accepts; the text alone goes to Python.
+
+    Repeated rows are judged each, a null text as an empty one; without labels of both kinds all stay. Empty in, empty out.
+    """
     ranking = fit_on(docs, labels, fit_rows, cut_score)
 
     @F.pandas_udf(DoubleType())

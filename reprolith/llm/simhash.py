@@ -356,7 +356,8 @@ SIMILAR = {"shingle": 5, "words": 8, "budget": 144, "sketch": 12, "similarity":
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **setting: float) -> DataFrame:
     """The rows of `docs`, all columns, with one row of each component: that of the least id.
 
-    Of rows with one id, that of the least text hash stays; rows alike in both are one.
+    Of rows with one id, that of the least text hash stays; of rows alike in both, that whose columns have the least hash.
+    Null and empty texts are copies of one another. Empty in, empty out.
     """
     rows, of = similar_components(docs, id_col=id_col, text_col=text_col, **(SIMILAR | setting))
     stay = rows.join(of, "node").groupBy("component_id").agg(F.min(F.struct("doc_id", "th")).alias("k"), F.count("*").alias("c"))
@@ -365,5 +366,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     keyed = docs.withColumns({"__i": F.col(id_col).cast("long"), "__t": th})
     out = keyed.join(stay, F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__th")), "left_semi")
     if not rows.groupBy("doc_id", "th").agg(F.count("*").alias("c")).filter("c > 1").isEmpty():
-        out = out.dropDuplicates(["__i", "__t"])
+        out = out.groupBy("__i", "__t").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("__row")).select("__row.*")
     return out.select(*docs.columns)

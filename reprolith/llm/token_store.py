@@ -230,15 +230,26 @@ def store_and_read(docs: DataFrame, tokenizer_path: str | None = None, path: str
 
 
 def lookup(shards: DataFrame, keys: DataFrame, key_col: str = "doc_id") -> DataFrame:
-    """(key, ids) of the wanted keys, by their first occurrence: keys meet the shard whose range holds them."""
-    spans = shards.select(F.col("first_key").alias("lo"), F.col("last_key").alias("hi"), "shard").filter("lo is not null")
-    wanted = keys.select(F.col(key_col).cast("long").alias("key")).filter("key is not null").distinct()
-    met = wanted.join(spans, F.col("key").between(F.col("lo"), F.col("hi")))
+    """(key, ids) of the wanted keys that are there, each once, by its first occurrence; null keys are not looked up.
+
+    Keys meet the shards' ranges - not their bytes - by equal buckets of the key space. Ranges overlap at their ends
+    only, so all of them cover little more buckets than there are shards. Then each shard gets the list of its keys.
+    """
+    spans = shards.filter("first_key is not null").select("task", "seq", F.col("first_key").alias("lo"), F.col("last_key").alias("hi"))
+    facts = spans.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("n")).first()
+    least, width = facts["lo"] or 0, max(1, ((facts["hi"] or 0) - (facts["lo"] or 0)) // max(1, facts["n"]))
+    bucket = lambda c: F.floor((F.col(c) - F.lit(least)) / F.lit(width))
+    spans = spans.withColumn("bucket", F.explode(F.sequence(bucket("lo"), bucket("hi"))))
+    wanted = keys.select(F.col(key_col).cast("long").alias("key")).filter(F.col("key").between(least, facts["hi"] or 0)).distinct().withColumn("bucket", bucket("key"))
+    met = wanted.join(spans, "bucket").filter("key between lo and hi").groupBy("key").agg(F.min(F.struct("task", "seq")).alias("s"))
+    lists = met.groupBy(F.col("s.task").alias("task"), F.col("s.seq").alias("seq")).agg(F.collect_list("key").alias("keys"))  # at most SHARD_DOCS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("key", pa.int64()), ("ids", pa.list_(pa.int32()))])
         for b in batches:
-            found = [(k, x.tolist()) for k, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (x := Shard(d).get(k)) is not None]
-            yield batch_of(schema, {"key": [k for k, _ in found], "ids": [x for _, x in found]})
+            for wanted, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                shard = Shard(data)
+                found = [(k, x.tolist()) for k in wanted if (x := shard.get(k)) is not None]
+                yield batch_of(schema, {"key": [k for k, _ in found], "ids": [x for _, x in found]})
 
-    return met.select("key", "shard").mapInArrow(run, "key long, ids array<int>")
+    return shards.select("task", "seq", "shard").join(lists, ["task", "seq"]).select("keys", "shard").mapInArrow(run, "key long, ids array<int>")

@@ -182,6 +182,20 @@ def test_token_store(spark, docs, none):
     assert [(r.key, r.ids) for r in found] == [(3, [*lib.encode("one", add_special_tokens=False).ids, 2])]
 
 
+def test_lookup_of_keys_in_many_shards(spark, monkeypatch):
+    """Keys far apart, repeated beyond a shard and a task, and missing: each found once, by its first occurrence."""
+    monkeypatch.setattr(token_store, "SHARD_DOCS", 3)
+    lib = tokens.byte_encoder(tokens.public_path("byte_bpe_50k.json")).library
+    data = [(k, f"text {k} {i}") for i, k in enumerate([*range(20), *[50] * 15, 10**12, -7])] + [(None, "none")]
+    docs = spark.createDataFrame(data, "doc_id long, text string").coalesce(1)
+    shards = token_store.write_shards(docs, common.scratch(spark, "t"))
+    assert shards.filter("first_key = 50").select("task").distinct().count() >= 1
+    got = token_store.lookup(shards, spark.createDataFrame([(k,) for k in (3, 3, 50, 10**12, -7, 999, -10**15, None)], "doc_id long")).collect()
+    texts = {k: next(t for x, t in data if x == k) for k in (3, 50, 10**12, -7)}
+    assert sorted((r.key, r.ids) for r in got) == sorted((k, [*lib.encode(t, add_special_tokens=False).ids, 2]) for k, t in texts.items())
+    assert token_store.lookup(shards.limit(0), docs).count() == 0
+
+
 def test_perfect_hash_is_minimal_and_turns_strangers_away():
     import array
 
@@ -228,6 +242,41 @@ def test_mixing(docs, none):
     assert sum(len(words(r.text or "")) for r in out.collect()) == sum(r.taken for r in mixing.mix(docs).collect())
 
 
+def test_mixing_takes_in_order_of_finish_times(docs):
+    """The queue by brute force: every row's virtual finish times, all sources in one order, taken until the budget is full."""
+    from pyspark.sql import functions as F
+
+    data = mixing.mix(docs, bucket_rows=3).withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(7), "doc_id", "size"), 32)).collect()
+    queue = []
+    for source in {r.source for r in data}:
+        own = sorted((r for r in data if r.source == source), key=lambda r: (r.h, r.doc_id is not None, r.doc_id or 0, r["size"]))
+        upto = 0
+        for place, r in enumerate(own):
+            upto += r["size"]
+            queue += [((e * r.source_size + upto) / r.target, "n" if source is None else f"s{source}", place, e, r["size"], id(r)) for e in range(3) if r["size"]]
+    left, want = sum(r["size"] for r in data), Counter()
+    for *_, size, row in sorted(queue):
+        left -= size
+        if left < 0:
+            break
+        want[row] += size
+    assert [r.taken for r in data] == [want[id(r)] for r in data]
+
+
+@pytest.mark.parametrize("run", [1, 3, 1000])
+def test_budget_end(spark, monkeypatch, run):
+    monkeypatch.setattr(mixing, "SLICES", run)
+    by_time = spark.createDataFrame([(t, 5 + t % 3) for t in range(0, 60, 2)], "t long, w long")
+    for budget in (1, 5, 6, 57, 179, 180, 181):
+        ahead, want = 0, (1 << 62, 0)
+        for t in range(0, 60, 2):
+            if ahead + 5 + t % 3 >= budget:
+                want = (t, ahead)
+                break
+            ahead += 5 + t % 3
+        assert mixing.budget_end(by_time, budget) == want
+
+
 def brute_fingerprint(t):
     w = words(fold(t))
     grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 2 else [" ".join(w)] if w else []

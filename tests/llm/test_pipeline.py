@@ -46,3 +46,16 @@ def test_each_stage_takes_effect(spark, stages):
 
 def test_run_is_the_stages(spark, stages):
     assert Counter(map(tuple, corpus_pipeline.run(spark, SF).select("doc_id", "piece", "length", "ids_crc32").collect())) == Counter(map(tuple, stages["packing"].select("doc_id", "piece", "length", "ids_crc32").collect()))
+
+
+def test_run_on_awkward_and_empty_tables(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, ids alike; no rows at all."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    prose = "The river was wide and slow, and the boats went down to the sea every morning with the tide. " * 4
+    rows = [(1, prose, "en", "a", 1), (1, prose, "en", "a", 1), (1, prose, "de", "b", 2), (2, None, None, None, None), (3, "", "en", "a", 0), (None, prose + "more", "en", None, 5), (4, prose.upper(), "en", "a", 7), (5, "x" * 30_000, "en", "b", 9)]
+    for name, data in (("some", rows), ("none", [])):
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    some = corpus_pipeline.run(spark, f"{tmp_path}/some")
+    assert some.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and some.count() > 0
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
