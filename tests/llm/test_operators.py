@@ -503,6 +503,31 @@ def test_quality(spark, docs, none):
     assert kept.columns == data.columns and {r.doc_id for r in kept.collect()} == {i for i in got if got[i].predicted}
 
 
+def test_quality_is_the_ranking_of_all_pairs(spark):
+    """op6 against a plain Bradley-Terry fit by gradient descent on the same pairs, over the documents' own labels."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    train = [(known[r.doc_id] == 1, quality.features((r.text or "").encode())) for r in docs.collect() if r.doc_id in known and zlib.crc32(str(r.doc_id).encode()) % 5]
+    train.sort()
+    x, good = np.array([f for _, f in train]), np.array([g for g, _ in train])
+    mean, spread = x[good].mean(0), x[good].std(0) + 0.1 * x.std(0) + 1e-9
+    inputs = lambda v: (lambda z: np.concatenate([z, z * z], 1))(np.clip((v - mean) / spread, -4, 4))
+    z, rng = inputs(x), np.random.default_rng(5)
+    d = z[rng.choice(np.flatnonzero(good), quality.FIT_PAIRS)] - z[rng.choice(np.flatnonzero(~good), quality.FIT_PAIRS)]
+    w = np.zeros(z.shape[1])
+    for _ in range(400):  # plain descent: loss log(1 + exp(-d w)) and the ridge
+        w -= 0.05 * (-(d.T @ (1 / (1 + np.exp(np.clip(d @ w, -30, 30))))) / len(d) + 1e-3 * w)
+    cut = np.quantile(z @ w, (~good).mean())
+    got = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
+    rows = docs.collect()
+    mine = inputs(np.array([quality.features((r.text or "").encode()) for r in rows])) @ w >= cut
+    assert len(got) == len(rows) and all(r.predicted == (r.score >= 0.3) and 0 <= r.score <= 1 for r in got.values())
+    assert np.mean([got[r.doc_id].predicted == m for r, m in zip(rows, mine, strict=True)]) > 0.98
+    held = [r for r in got.values() if r.held_out and r.doc_id in known]
+    assert np.mean([r.predicted == known[r.doc_id] for r in held]) > 0.97
+
+
 @pytest.mark.parametrize("compression", [1, 5, 8, 32773])
 @pytest.mark.parametrize("predictor", [1, 2])
 @pytest.mark.parametrize("tile", [None, (16, 16)])
