@@ -21,8 +21,8 @@ join; those of two-word contexts are known from the first round.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -303,9 +303,24 @@ def _answers(prior: float):
 
 
 def _answered(questions: DataFrame, prior: float, label: str) -> DataFrame:
-    """The answers of both rounds' questions, written."""
+    """The answers of both rounds' questions, written; the questions are deleted then."""
     dealt = questions.repartition("shard").sortWithinPartitions("shard", "chunk")
-    return written(dealt.mapInArrow(_answers(prior), _ANSWERS_DDL), label)
+    with _shuffles_deleted(questions.sparkSession):
+        return written(dealt.mapInArrow(_answers(prior), _ANSWERS_DDL), label)
+
+
+@contextmanager
+def _shuffles_deleted(spark) -> Iterator[None]:
+    """Spark deletes the shuffle files of each query in here when it ends, not when its frames are collected as garbage."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 #: Frequent words that travel with the tasks; if there are more, each chunk gets its own by a join.
@@ -433,12 +448,6 @@ def _score(hot: np.ndarray | None, shards: int, total: int, distinct: int, once:
     return run
 
 
-def _released(spark) -> None:
-    """Let Spark's cleaner delete the shuffle files of frames that are gone."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def score_texts(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: str = "text", chunk_words: int = CHUNK_WORDS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -453,7 +462,6 @@ def score_texts(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_c
     chunks, hot = hot_words(chunks, tokens)
     first = _answered(chunks.drop("ids", "tokens").mapInArrow(_ask_pairs(hot, shards), "shard long, chunk long, question binary"), PRIOR[1], "lm-first")
     whole = first.filter("stats is not null").agg(*(F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)) for i in range(3))).first()
-    _released(spark)
     mine = lambda answers, name, *columns: answers.groupBy("chunk").agg(F.collect_list(F.struct("shard", *columns)).alias(name))  # noqa: E731  as large as the chunk
     second = chunks.drop("ids", "tokens").join(mine(first, "counted", "counts"), "chunk").mapInArrow(_ask_triples(hot, shards), "shard long, chunk long, question binary")
     second = _answered(second, PRIOR[2], "lm-second")

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -477,6 +478,29 @@ def test_lm_counts_beyond_32_bits():
         assert 10 ** float(values[which[0]]) == pytest.approx(2 * big / (2 * big + 50))
 
 
+def test_lm_questions_are_deleted(spark, docs, monkeypatch):
+    """The shuffle files of both rounds go when their answers are written, whether or not anything collects garbage."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: set(re.findall(r"shuffle_(\d+)_", files.getAllFiles().mkString(" ")))
+    write, made = lm_scoring.written, set()
+
+    def written(df, label):
+        before = spark.sparkContext._jsc.sc().newShuffleId()
+        out = write(df, label)
+        if label in ("lm-first", "lm-second"):
+            made.update(map(str, range(before, spark.sparkContext._jsc.sc().newShuffleId())))
+        return out
+
+    monkeypatch.setattr(lm_scoring, "written", written)
+    scores = lm_scoring.score_texts(docs, chunk_words=300, shard_tokens=400)
+    until = time.monotonic() + 20
+    while made & shuffles() and time.monotonic() < until:
+        time.sleep(0.2)
+    assert made and not made & shuffles()
+    assert scores.count() == len(rows())
+    assert spark.conf.get(lm_scoring.SHUFFLE_CLEANUP) == "false"
+
+
 def test_lm_parts_of_a_frequent_context_are_even():
     rng = np.random.default_rng(1)
     prints = rng.integers(0, 2**32, 10_000).astype(np.uint64)
