@@ -6,8 +6,10 @@ its first word (Dirichlet smoothing with M = PRIOR; MacKay and Peto, 1995). The
 words. p(w) = (1 - n1/N) c(w)/N, and n1/N for a word not seen, n1 being the words seen once. Everything is counted over
 all training texts.
 
-The exchange. Documents are tokenised into chunks of about a million words, written once. Each chunk sends every shard of
-contexts its contexts and, below each, a 32-bit fingerprint of its distinct successors, with counts. A shard adds up all
+The exchange. Documents are tokenised into chunks of about 1.5 million words, written once. Each chunk sends every shard of
+contexts its contexts and, below each, a 32-bit fingerprint of its distinct successors, with counts. The number of these
+messages is that of chunks times that of shards, so chunks are as large as a worker's memory allows: what is held for each
+token is small, and what needs more is done BLOCK tokens at a time. A shard adds up all
 chunks' counts and builds its trie - contexts, monotone pointers, successors, quantised log10 of the smoothed c(hw) / (c(h) + M)
 and of a context's weight for the lower order, in memory-mapped Elias-Fano levels - and answers every chunk by successor
 search: one byte for each n-gram. There are two rounds, contexts of one word and of two. What occurs once in all texts,
@@ -37,7 +39,9 @@ from .ngram_trie import NGramTrie
 from .token_store import mix64
 
 #: Words of a chunk, and tokens for each shard, about: what a task holds at a time. Small inputs get more, smaller shards.
-CHUNK_WORDS, SHARD_TOKENS, LEAST_TOKENS = 1_000_000, 1_000_000, 50_000
+CHUNK_WORDS, SHARD_TOKENS, LEAST_TOKENS = 1_500_000, 2_000_000, 50_000
+#: Tokens of a chunk that are sorted or scored at a time.
+BLOCK = 500_000
 #: Tokens of a context in one shard at most.
 HOT_TOKENS = 250_000
 #: The weight of the lower order, in tokens, by length of context.
@@ -49,16 +53,19 @@ _CHUNKS = pa.schema([("chunk", pa.int64()), ("tokens", pa.int64()), ("ids", pa.l
 _CHUNKS_DDL = "chunk long, tokens long, ids array<long>, train array<boolean>, words binary, places binary"
 
 
+_COMPRESSOR, _DECOMPRESSOR = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays by planes of bytes, compressed: what is small in most elements takes little room."""
     head = np.array([len(arrays), *(len(a) for a in arrays)], "<i8").tobytes()
     kinds = b"".join(a.dtype.str.encode().ljust(4) for a in arrays)
     planes = (np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(head + kinds + b"".join(planes))
+    return _COMPRESSOR.compress(head + kinds + b"".join(planes))
 
 
 def _unpack(data: bytes) -> list[np.ndarray]:
-    data = zstandard.ZstdDecompressor().decompress(data)
+    data = _DECOMPRESSOR.decompress(data)
     n = int(np.frombuffer(data, "<i8", 1)[0])
     sizes, at, out = np.frombuffer(data, "<i8", n, 8).tolist(), 8 + 8 * n + 4 * n, []
     for i, size in enumerate(sizes):
@@ -85,7 +92,7 @@ def tokenised(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         words.append(_END)
         lengths.append(len(words))
         order += [place(w, len(table)) for w in words]
-    of = np.array(order, np.int64)
+    of = np.array(order, np.uint32)
     by_count = np.argsort(-np.bincount(of, minlength=len(table)), kind="stable")
     rank = np.empty(len(table), np.uint32)
     rank[by_count] = np.arange(len(table), dtype=np.uint32)
@@ -128,9 +135,28 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
 
 def part_keys(keys: np.ndarray, prints: np.ndarray, totals: np.ndarray) -> np.ndarray:
     """The key under which a context's successor is counted: the context's own, or that of a part if it has over HOT_TOKENS."""
-    parts = -(-totals.astype(np.int64) // HOT_TOKENS)
-    part = prints * parts.astype(np.uint64) >> np.uint64(32)
-    return np.where(parts > 1, mix64(keys + (part + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), 55), keys)
+    split = np.flatnonzero(totals > HOT_TOKENS)
+    parts = -(-totals[split].astype(np.int64) // HOT_TOKENS)
+    part = prints[split] * parts.astype(np.uint64) >> np.uint64(32)
+    out = keys.copy()
+    out[split] = mix64(keys[split] + (part + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), 55)
+    return out
+
+
+def distinct(n: int, values) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of n values, and which of them each is; `values(a slice)` gives them, BLOCK at a time."""
+    found, of = [], np.empty(n, np.uint32)
+    for i in range(0, n, BLOCK):
+        own, of[i : i + BLOCK] = np.unique(values(slice(i, i + BLOCK)), return_inverse=True)
+        found.append(own)
+    if len(found) < 2:
+        return (found or [np.zeros(0, np.uint64)])[0], of
+    every, to = np.unique(np.concatenate(found), return_inverse=True)
+    upto = 0
+    for i, own in zip(range(0, n, BLOCK), found, strict=True):
+        of[i : i + BLOCK] = to[upto : upto + len(own)][of[i : i + BLOCK]]
+        upto += len(own)
+    return every, of
 
 
 class Chunk:
@@ -141,16 +167,16 @@ class Chunk:
         order, self.lengths = _unpack(places)
         by_hash = np.argsort(hashes)
         self.words = hashes[by_hash]
-        rank = np.empty(len(hashes), np.int64)
-        rank[by_hash] = np.arange(len(hashes))
+        rank = np.empty(len(hashes), np.uint32)
+        rank[by_hash] = np.arange(len(hashes), dtype=np.uint32)
         self.of = rank[order]
         self.trains = np.repeat(np.array(train, bool), self.lengths)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.before = np.empty(len(self.of), np.int64)
+        self.before = np.empty(len(self.of), np.uint32)
         self.before[1:] = self.of[:-1]
         self.before[self.starts] = np.searchsorted(self.words, _END_HASH)
         self.prints = mix64(self.words, 77) >> np.uint64(32)
-        self.pairs, self.pair_of = np.unique(self.before.astype(np.uint64) << np.uint64(32) | self.prints[self.of], return_inverse=True)
+        self.pairs, self.pair_of = distinct(len(self.of), lambda t: self.before[t].astype(np.uint64) << np.uint64(32) | self.prints[self.of[t]])
         # training counts of frequent words, 0 of others
         self.known = np.zeros(len(self.words), np.uint64)
         if len(hot[0]):
@@ -160,32 +186,40 @@ class Chunk:
     def asked_pairs(self, shards: int) -> Asked:
         """The first round's n-grams: words, and what follows them."""
         v, prints = (self.pairs >> np.uint64(32)).astype(np.int64), self.pairs & np.uint64(0xFFFFFFFF)
-        return Asked(part_keys(self.words[v], prints, self.known[v]), prints, self.known[v], shards, self.words)
+        known = self.known[v]
+        return Asked(part_keys(self.words[v], prints, known), prints, known, shards, self.words)
 
     def pair_questions(self, shards: int) -> Iterator[tuple[int, bytes]]:
         n_words = self.counts(self.of, len(self.words))[0]
         return self.asked_pairs(shards).questions(self.counts(self.pair_of, len(self.pairs)), n_words, self.known)
 
-    def triples(self, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The second round's n-grams, given `seen` (2 x training count, and 1 if there are two or more in all texts) of each pair.
+    def triples(self, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each token's context pair, -1 at a text's start, and the tokens whose n-grams the second round asks for.
 
-        Each token's context pair, -1 at a text's start; the tokens that ask; and what asks by distinct (context, print).
+        `seen` is of each pair: 2 x training count, and 1 if there are two or more in all texts.
         """
-        context = np.empty(len(self.of), np.int64)
+        context = np.empty(len(self.of), np.int32)
         context[1:] = self.pair_of[:-1]
         context[self.starts] = -1
-        asks = np.flatnonzero((context >= 0) & (seen[context] & np.uint64(1) > 0) & (seen[self.pair_of] & np.uint64(1) > 0))
-        return context, asks, context[asks].astype(np.uint64) << np.uint64(32) | self.prints[self.of[asks]]
+        twice = seen & np.uint64(1) > 0
+        return context, np.flatnonzero((context >= 0) & twice[context] & twice[self.pair_of])
 
-    def asked_triples(self, seen: np.ndarray, triples: np.ndarray, shards: int) -> tuple[np.ndarray, Asked]:
+    def asked_triples(self, seen: np.ndarray, context: np.ndarray, asks: np.ndarray, shards: int) -> tuple[np.ndarray, Asked]:
         """Which distinct n-gram each asking token is of, and these n-grams."""
-        distinct, of = np.unique(triples, return_inverse=True)
-        uv, prints = (distinct >> np.uint64(32)).astype(np.int64), distinct & np.uint64(0xFFFFFFFF)
+        triples, of = distinct(len(asks), lambda t: context[asks[t]].astype(np.uint64) << np.uint64(32) | self.prints[self.of[asks[t]]])
+        uv, prints = (triples >> np.uint64(32)).astype(np.int64), triples & np.uint64(0xFFFFFFFF)
         u, v = (self.pairs[uv] >> np.uint64(32)).astype(np.int64), self.pairs[uv] & np.uint64(0xFFFFFFFF)
         total = seen[uv] >> np.uint64(1)
         keys = part_keys(mix64(self.words[u], 3) ^ mix64(v, 4), prints, total) & ~np.uint64(0xFFFF)  # 48 bits tell contexts apart
         return of, Asked(keys, prints, total, shards)
 
+    def blocks(self) -> Iterator[tuple[slice, slice]]:
+        """(texts, their tokens), whole texts of about BLOCK tokens."""
+        ends = self.starts + self.lengths
+        cuts = [*np.flatnonzero(np.diff(self.starts // BLOCK, prepend=-1)).tolist(), len(self.starts)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            yield slice(lo, hi), slice(int(self.starts[lo]), int(ends[hi - 1]))
+
     def counts(self, of: np.ndarray, n: int, tokens: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Of n things that tokens are of: how many in training, and in all texts."""
         trains = self.trains if tokens is None else self.trains[tokens]
@@ -204,8 +238,8 @@ class Asked:
     """
 
     def __init__(self, keys: np.ndarray, prints: np.ndarray, totals: np.ndarray, shards: int, words: np.ndarray = _NONE):
-        self.keys, self.prints, self.totals, self.words = keys, prints, totals, words
-        self.order = np.argsort(keys, kind="stable")
+        self.prints, self.totals, self.words = prints.astype("<u4"), totals, words
+        self.order = np.argsort(keys, kind="stable").astype(np.uint32)
         ordered = keys[self.order]
         new = np.concatenate([ordered[:1] == ordered[:1], ordered[1:] != ordered[:-1]])
         self.contexts = np.union1d(words, ordered[new]) if len(words) else ordered[new]
@@ -224,10 +258,9 @@ class Asked:
         total[has] = self.totals[self.order[self.first[:-1][has]]]
         at = np.searchsorted(self.contexts, self.words)
         n[at], total[at] = n_words, np.maximum(total[at], known)
-        prints = self.prints.astype("<u4")
         for s, own, c in self.spans():
             first = (self.first[:-1][c] - self.first[c.start]).astype("<u4")
-            yield s, _pack(_rises(self.contexts[c]), total[c], n[c], _rises(first), prints[own], *(x[own] for x in counts))
+            yield s, _pack(_rises(self.contexts[c]), total[c], n[c], _rises(first), self.prints[own], *(x[own] for x in counts))
 
 
 _ANSWERS = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("answer", pa.binary()), ("counts", pa.binary()), ("stats", pa.list_(pa.int64()))])
@@ -253,7 +286,9 @@ def answer_shard(shard: int, questions: list[tuple[int, bytes]], prior: float) -
         own = np.repeat(context_of[at : at + len(q[0])], np.diff(first))
         grams.append(own.astype(np.uint64) << np.uint64(32) | q[4])
         at += len(q[0])
-    distinct, gram_of = np.unique(np.concatenate(grams), return_inverse=True)
+    sizes, grams = [len(g) for g in grams], np.concatenate(grams)
+    distinct, gram_of = np.unique(grams, return_inverse=True)
+    del grams
     n, n_all = (_sums(gram_of, [q[i] for _, q in asked], len(distinct)) for i in (5, 6))
     held, n_held = distinct[n > 0], n[n > 0].astype(float)
     room = total.astype(float) + prior
@@ -268,9 +303,9 @@ def answer_shard(shard: int, questions: list[tuple[int, bytes]], prior: float) -
         codes[found >= 0] = trie.levels[1][3][found[found >= 0]]
     seen = n * np.uint64(2) + (n_all > 1).astype(np.uint64)
     stats, at, upto = [int(n_context.sum()), int((n_context > 0).sum()), int((n_context == 1).sum())], 0, 0
-    for (chunk, q), own in zip(asked, grams, strict=True):
-        i, c = gram_of[at : at + len(own)], context_of[upto : upto + len(q[0])]
-        at, upto = at + len(own), upto + len(c)
+    for (chunk, q), size in zip(asked, sizes, strict=True):
+        i, c = gram_of[at : at + size], context_of[upto : upto + len(q[0])]
+        at, upto = at + size, upto + len(c)
         used, which = np.unique(codes[i], return_inverse=True)
         yield {"shard": shard, "chunk": chunk, "answer": _pack(values[used], which.astype("<u2")), "counts": _pack(seen[i], n_context[c]), "stats": stats}
         stats = None
@@ -281,13 +316,24 @@ def _sums(of: np.ndarray, counts: list[np.ndarray], n: int) -> np.ndarray:
     return np.bincount(of, np.concatenate(counts).astype(float), minlength=n).astype(np.uint64)
 
 
+#: Bytes of answers that go to the JVM at a time, about.
+ANSWER_BYTES = 1 << 20
+
+
 def _answers(prior: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held = None, []
 
         def out() -> Iterator[pa.RecordBatch]:
+            rows, size = [], 0
             for row in answer_shard(shard, held, prior):
-                yield batch_of(_ANSWERS, {k: [v] for k, v in row.items()})
+                rows.append(row)
+                size += len(row["answer"]) + len(row["counts"])
+                if size > ANSWER_BYTES:
+                    yield batch_of(_ANSWERS, {k: [r[k] for r in rows] for k in _ANSWERS.names})
+                    rows, size = [], 0
+            if rows:
+                yield batch_of(_ANSWERS, {k: [r[k] for r in rows] for k in _ANSWERS.names})
 
         for b in batches:
             for s, chunk, q in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
@@ -366,15 +412,26 @@ def hot_words(chunks: DataFrame, tokens: int) -> tuple[DataFrame, np.ndarray | N
 
 def _chunk_of(row: dict, hot: np.ndarray | None) -> Chunk:
     if hot is None:
-        own = np.array([[x["word"], x["trained"]] for x in row["hot"] or []], np.int64).reshape(-1, 2).T.copy().view(np.uint64)
+        own = np.array([row["hot"]["word"], row["hot"]["trained"]] if row["hot"] else [[], []], np.int64).view(np.uint64)
         hot = own[:, np.argsort(own[0])]
-    return Chunk(row["train"], row["words"], row["places"], hot)
+    return Chunk(row["train"], row.pop("words"), row.pop("places"), hot)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows as dicts; a list of structs as a dict of lists."""
     for b in batches:
         for i in range(b.num_rows):
-            yield {name: b.column(j)[i].as_py() for j, name in enumerate(b.schema.names)}
+            yield {name: _cell(b.column(j)[i]) for j, name in enumerate(b.schema.names)}
+
+
+def _cell(x: pa.Scalar):
+    if not (x.is_valid and pa.types.is_list(x.type) and pa.types.is_struct(x.type.value_type)):
+        return x.as_py()
+    return {f.name: x.values.field(k).to_pylist() for k, f in enumerate(x.type.value_type)}
+
+
+def _by_shard(cell: dict | None, name: str) -> dict[int, bytes]:
+    return dict(zip(cell["shard"], cell[name], strict=True)) if cell else {}
 
 
 def _ask_pairs(hot: np.ndarray | None, shards: int):
@@ -402,10 +459,10 @@ def _ask_triples(hot: np.ndarray | None, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             c = _chunk_of(row, hot)
-            seen, _ = _seen_of(c, c.asked_pairs(shards), {a["shard"]: a["counts"] for a in row["counted"]})
-            _, asks, triples = c.triples(seen)
-            of, asked = c.asked_triples(seen, triples, shards)
-            yield from _question_rows(row["chunk"], asked.questions(c.counts(of, len(asked.keys), asks)))
+            seen, _ = _seen_of(c, c.asked_pairs(shards), _by_shard(row["counted"], "counts"))
+            context, asks = c.triples(seen)
+            of, asked = c.asked_triples(seen, context, asks, shards)
+            yield from _question_rows(row["chunk"], asked.questions(c.counts(of, len(asked.prints), asks)))
 
     return run
 
@@ -415,7 +472,7 @@ _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_token
 
 def _answered_values(asked: Asked, answers: dict[int, bytes]) -> np.ndarray:
     """c(hw) / (c(h) + prior) of each n-gram, from the tries' answers."""
-    out = np.zeros(len(asked.keys))
+    out = np.zeros(len(asked.prints))
     for shard, at, _ in asked.spans():
         values, which = _unpack(answers[shard])
         out[at] = (10.0 ** values.astype(float))[which]
@@ -427,23 +484,26 @@ def _score(hot: np.ndarray | None, shards: int, total: int, distinct: int, once:
         for row in _rows(batches):
             c = _chunk_of(row, hot)
             asked = c.asked_pairs(shards)
-            seen, n_word = _seen_of(c, asked, {a["shard"]: a["counts"] for a in row["counted"]})
+            seen, n_word = _seen_of(c, asked, _by_shard(row["counted"], "counts"))
             n_word = n_word.astype(float)
             base = np.log10((n_word + 0.1) / (total + 0.1 * (distinct + 1)))
             new = max(once, 1) / max(total, 1) if once < total else 0.5
             single = np.where(n_word > 0, (1 - new) * n_word / max(total, 1), new)
-            two = _answered_values(asked, {a["shard"]: a["answer"] for a in row["counted"]})
-            h, m = n_word[c.before], PRIOR[1]
-            p = two[c.pair_of] + m / (h + m) * single[c.of]
-            context, asks, triples = c.triples(seen)
-            of, asked = c.asked_triples(seen, triples, shards)
-            three = _answered_values(asked, {a["shard"]: a["answer"] for a in row["answers"] or []})
-            h, m = (seen[context] >> np.uint64(1)).astype(float), PRIOR[2]
-            seen_here = c.trains / (h + m)  # what occurs once in all texts occurs here
-            seen_here[asks] = three[of]
-            p = np.where(context >= 0, seen_here + m / (h + m) * p, p)
-            per = [np.add.reduceat(x, c.starts) for x in ((n_word > 0)[c.of].astype(np.int64), base[c.of], np.log10(np.minimum(p, 1.0)))]
-            yield batch_of(_SCORES, {"doc_id": row["ids"], "held_out": [not x for x in row["train"]], "n_tokens": c.lengths, "n_known": per[0], "base_score": per[1], "score": per[2]})
+            two = _answered_values(asked, _by_shard(row["counted"], "answer"))
+            context, asks = c.triples(seen)
+            of, asked = c.asked_triples(seen, context, asks, shards)
+            three = _answered_values(asked, _by_shard(row["answers"], "answer"))
+            for texts, t in c.blocks():
+                h, m = n_word[c.before[t]], PRIOR[1]
+                p = two[c.pair_of[t]] + m / (h + m) * single[c.of[t]]
+                h, m = (seen[context[t]] >> np.uint64(1)).astype(float), PRIOR[2]
+                seen_here = c.trains[t] / (h + m)  # what occurs once in all texts occurs here
+                own = slice(*np.searchsorted(asks, [t.start, t.stop]).tolist())
+                seen_here[asks[own] - t.start] = three[of[own]]
+                p = np.where(context[t] >= 0, seen_here + m / (h + m) * p, p)
+                starts = c.starts[texts] - t.start
+                per = [np.add.reduceat(x, starts) for x in ((n_word > 0)[c.of[t]].astype(np.int64), base[c.of[t]], np.log10(np.minimum(p, 1.0)))]
+                yield batch_of(_SCORES, {"doc_id": row["ids"][texts], "held_out": [not x for x in row["train"][texts]], "n_tokens": c.lengths[texts], "n_known": per[0], "base_score": per[1], "score": per[2]})
 
     return run
 

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -478,6 +479,17 @@ def test_lm_counts_beyond_32_bits():
         assert 10 ** float(values[which[0]]) == pytest.approx(2 * big / (2 * big + 50))
 
 
+def test_lm_answers_travel_together():
+    """Messages are chunks times shards in number: a shard's answers go out in few batches, not each in its own."""
+    grams, words = np.arange(9, dtype=np.uint64), np.arange(9, dtype=np.uint64) << np.uint64(40)
+    one = np.ones(9, "<u4")
+    ((_, question),) = lm_scoring.Asked(words, grams, np.zeros(9, np.uint64), 1, words).questions((one, one), one, np.zeros(9, np.uint64))
+    asked = common.batch_of(lm_scoring._QUESTIONS, {"shard": [0] * 300 + [1] * 300, "chunk": [*range(300)] * 2, "question": [question] * 600})
+    got = list(lm_scoring._answers(50.0)(iter([asked])))
+    assert len(got) == 2 and [b.num_rows for b in got] == [300, 300]
+    assert [x is not None for x in got[1].column("stats").to_pylist()] == [True] + [False] * 299
+
+
 def test_lm_questions_are_deleted(spark, docs, monkeypatch):
     """The shuffle files of both rounds go when their answers are written, whether or not anything collects garbage."""
     files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
@@ -501,6 +513,47 @@ def test_lm_questions_are_deleted(spark, docs, monkeypatch):
     assert spark.conf.get(lm_scoring.SHUFFLE_CLEANUP) == "false"
 
 
+def lm_here(texts, per_chunk, shards):
+    """Scores by both rounds in this process, where a test can set what workers would import."""
+    trains = [i % 5 != 0 for i in range(len(texts))]
+    chunks, n = [], Counter()
+    for k, i in enumerate(range(0, len(texts), per_chunk)):
+        hashes, places, lengths = lm_scoring.tokenised(texts[i : i + per_chunk])
+        own = trains[i : i + per_chunk]
+        for h in hashes[places[np.repeat(own, lengths)]].tolist():
+            n[h] += 1
+        chunks.append({"chunk": k, "ids": [*range(i, i + len(own))], "train": own, "words": lm_scoring._pack(hashes), "places": lm_scoring._pack(places, lengths)})
+    hot = np.array(sorted((h, c) for h, c in n.items() if c > lm_scoring.HOT_TOKENS), np.uint64).reshape(-1, 2).T.copy()
+    through = lambda run, rows: [r for b in run(iter([pa.RecordBatch.from_pylist(rows)])) for r in b.to_pylist()]
+    answered = lambda asked, order: through(lm_scoring._answers(lm_scoring.PRIOR[order]), sorted(asked, key=lambda r: (r["shard"], r["chunk"])))
+    of = lambda answers, k, *names: [{x: a[x] for x in ("shard", *names)} for a in answers if a["chunk"] == k]
+    first = answered(through(lm_scoring._ask_pairs(hot, shards), chunks), 1)
+    chunks = [c | {"counted": of(first, c["chunk"], "counts", "answer")} for c in chunks]
+    second = answered(through(lm_scoring._ask_triples(hot, shards), chunks), 2)
+    stats = np.sum([a["stats"] for a in first if a["stats"]], 0).tolist()
+    got = through(lm_scoring._score(hot, shards, *stats), [c | {"answers": of(second, c["chunk"], "answer")} for c in chunks])
+    return [(r["doc_id"], r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in got]
+
+
+def test_lm_blocks(monkeypatch):
+    """A chunk's n-grams and scores are the same, however many tokens are sorted at a time and wherever frequent contexts are split."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(map(str, np.minimum(rng.zipf(1.6, n), 60))).encode() for n in rng.integers(0, 90, 40).tolist()]
+    whole = lm_here(texts, 40, 1)
+    values = rng.integers(0, 90, 1_000).astype(np.uint64)
+    want = np.unique(values, return_inverse=True)
+    monkeypatch.setattr(lm_scoring, "BLOCK", 70)
+    got = lm_scoring.distinct(len(values), lambda t: values[t])
+    assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+    assert [x.size for x in lm_scoring.distinct(0, lambda t: values[t])] == [0, 0]
+    for hot, per_chunk, shards in ((10**9, 40, 1), (10**9, 15, 3), (25, 15, 3)):
+        monkeypatch.setattr(lm_scoring, "HOT_TOKENS", hot)
+        got = lm_here(texts, per_chunk, shards)
+        assert [g[:3] for g in got] == [w[:3] for w in whole]
+        for g, w in zip(got, whole, strict=True):
+            assert g[3:] == pytest.approx(w[3:], rel=1e-4)
+
+
 def test_lm_parts_of_a_frequent_context_are_even():
     rng = np.random.default_rng(1)
     prints = rng.integers(0, 2**32, 10_000).astype(np.uint64)
