@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,13 +68,22 @@ def grouped_means(df: DataFrame, dimensions: Sequence[str], columns: Sequence[st
 
 
 def stratum(value: Column) -> Column:
-    """Right-closed (0, .6], (.6, .8], (.8, 1]; outside none."""
-    return F.when(value <= 0, None).when(value <= 0.6, "hard").when(value <= 0.8, "medium").when(value <= 1, "easy")
+    """Right-closed (0, .6], (.6, .8], (.8, 1] of a mean; outside none. An aggregate.
+
+    The mean is held against the edges by an exact sum of the values as decimals, so a mean on an edge falls on one side in
+    whatever order its rows come. Values that decimals don't hold (NaN, infinite, beyond 10^18 or below 10^-20) go by doubles.
+    """
+    x = value.cast("double")
+    exact, n = x.try_cast("decimal(38,20)"), F.count(x).cast("decimal(15,0)")
+    held = F.bool_and(x.isNull() | (exact.isNotNull() & ((exact != 0) | (x == 0))))
+    total, mean = F.when(held, F.try_sum(exact)), F.avg(x)
+    upto = lambda edge: F.coalesce(total <= n * F.lit(Decimal(edge)), mean <= float(edge))
+    return F.when(upto("0.0"), None).when(upto("0.6"), "hard").when(upto("0.8"), "medium").when(upto("1.0"), "easy")
 
 
 def strata(df: DataFrame, key: str, before: str, after: str) -> DataFrame:
     """Means of per-key means by difficulty of the key, and their change."""
-    per = df.groupBy(key).agg(F.avg(before).alias("b"), F.avg(after).alias("a")).withColumn("stratum", stratum(F.col("b")))
+    per = df.groupBy(key).agg(F.avg(before).alias("b"), F.avg(after).alias("a"), stratum(F.col(before)).alias("stratum"))
     out = per.filter("stratum is not null").groupBy("stratum").agg(F.count("*").alias("keys"), F.avg("b").alias("before"), F.avg("a").alias("after"))
     gain, percent = improvement(F.col("before"), F.col("after"))
     return out.withColumns({"gain": gain, "gain_percent": percent})
@@ -81,7 +91,7 @@ def strata(df: DataFrame, key: str, before: str, after: str) -> DataFrame:
 
 def strata_rows(df: DataFrame, key: str, before: str, after: str) -> DataFrame:
     """Each row with the stratum of its key (keys are aggregated first, then joined)."""
-    per = df.groupBy(key).agg(F.avg(before).alias("__b")).select(key, stratum(F.col("__b")).alias("stratum"))
+    per = df.groupBy(key).agg(stratum(F.col(before)).alias("stratum"))
     return df.join(per, key).filter("stratum is not null")
 
 
