@@ -10,7 +10,7 @@ from reprolith.plans.report_queries import QUERIES
 LINEITEM = "/root/testdata/sf0.01/lineitem.parquet"
 
 
-@pytest.mark.parametrize("name", ["a22_strata"])
+@pytest.mark.parametrize("name", ["a22_strata", "a23_stratum_rows"])
 def test_a_mean_on_an_edge_is_that_of_sql_however_rows_are_dealt(spark, tmp_path, name):
     con = duckdb.connect(config={"threads": 1})
     con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{LINEITEM}'")
