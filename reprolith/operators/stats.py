@@ -256,38 +256,59 @@ def median_interval(df: DataFrame, group: Sequence[str], value: str, confidence:
     return c.groupBy(*keys).agg(at(low).alias("median_low"), at(high).alias("median_high"))
 
 
-def _per_group(df: DataFrame, group: Sequence[str], schema: str, of) -> DataFrame:
-    """`of(frame) -> dict` for each group's rows; groups are experiments, of tens of outputs."""
+def _per_group(df: DataFrame, group: Sequence[str], columns: Sequence[str], schema: str, of) -> DataFrame:
+    """`of(frame) -> dict` for each group's rows, of the keys and these columns alone; groups are experiments, of tens of outputs."""
     keys = list(group)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([{k: frame[k].iloc[0] for k in keys} | of(frame)])
 
-    return df.groupBy(*keys).applyInPandas(run, f"{', '.join(f'{k} {df.schema[k].dataType.simpleString()}' for k in keys)}, {schema}")
+    rows = df.select(*dict.fromkeys([*keys, *columns]))
+    return rows.groupBy(*keys).applyInPandas(run, f"{', '.join(f'{k} {df.schema[k].dataType.simpleString()}' for k in keys)}, {schema}")
+
+
+def bca_interval(values: np.ndarray, counts: np.ndarray, resamples: int, confidence: float = 0.95, seed: int = 0, block: int = _DRAWS, table: int = 1 << 24) -> tuple[float, float]:
+    """T3 of a sample given as distinct values in order and how often each occurs.
+
+    Draws are made a block at a time, the same as all at once; a sample of more than `table` values isn't laid out but searched.
+    """
+    upto = np.cumsum(counts)
+    n = int(upto[-1]) if len(upto) else 0
+    if not n:
+        return math.nan, math.nan
+    x = np.repeat(values, counts) if n <= table else None
+    take = (lambda i: values[np.searchsorted(upto, i, "right")]) if x is None else (lambda i: x[i])
+    blocks = [(lo, min(lo + block, n)) for lo in range(0, n, block)]
+    mean = float(sum(take(np.arange(lo, hi)).sum() for lo, hi in blocks) / n)
+    if len(values) == 1:
+        return mean, mean
+    rng = np.random.default_rng(seed)
+    means = np.array([sum(take(rng.integers(0, n, hi - lo)).sum() for lo, hi in blocks) / n for _ in range(resamples)])
+    share = ((means < mean).mean() + (means <= mean).mean()) / 2
+    z0 = normal_quantile(min(max(share, 1 / (2 * resamples)), 1 - 1 / (2 * resamples)))
+    d = (values - mean) / (n - 1)
+    a = (counts * d**3).sum() / (6 * max((counts * d**2).sum() ** 1.5, 1e-300))
+    z = [z0 + normal_quantile(p) for p in ((1 - confidence) / 2, (1 + confidence) / 2)]
+    low, high = (float(np.quantile(means, 0.5 * math.erfc(-(z0 + y / (1 - a * y)) / math.sqrt(2)))) for y in z)
+    return low, high
 
 
 def bca(df: DataFrame, group: Sequence[str], value: str, resamples: int = 1000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
-    """Bias-corrected and accelerated interval of the mean (Efron, 1987)."""
+    """Bias-corrected and accelerated interval of the mean (Efron, 1987).
+
+    Only a group's distinct values and their counts go to its task. The number of tasks is given: so few bytes would be put
+    in one task for all groups.
+    """
 
     def of(frame: pd.DataFrame) -> dict:
-        x = np.sort(frame[value].dropna().to_numpy(float))
-        if len(x) < 2 or x[0] == x[-1]:
-            m = float(x.mean()) if len(x) else float("nan")
-            return {"bca_low": m, "bca_high": m}
-        rng = np.random.default_rng(seed)
-        means = np.array([rng.choice(x, len(x)).mean() for _ in range(resamples)])
-        share = ((means < x.mean()).mean() + (means <= x.mean()).mean()) / 2
-        z0 = normal_quantile(min(max(share, 1 / (2 * resamples)), 1 - 1 / (2 * resamples)))
-        jack = (x.sum() - x) / (len(x) - 1)
-        d = jack.mean() - jack
-        a = (d**3).sum() / (6 * max((d**2).sum() ** 1.5, 1e-300))
-        ends = []
-        for p in ((1 - confidence) / 2, (1 + confidence) / 2):
-            z = z0 + normal_quantile(p)
-            ends.append(float(np.quantile(means, 0.5 * math.erfc(-(z0 + z / (1 - a * z)) / math.sqrt(2)))))
-        return {"bca_low": ends[0], "bca_high": ends[1]}
-
-    return _per_group(df, group, "bca_low double, bca_high double", of)
+        v = frame.dropna(subset=["__v"]).sort_values("__v")
+        low, high = bca_interval(v["__v"].to_numpy(float), v["__n"].to_numpy(np.int64), resamples, confidence, seed)
+        return {"bca_low": low, "bca_high": high}
+
+    counts = df.groupBy(*group, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
+    if group:
+        counts = counts.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *group)
+    return _per_group(counts, group, ["__v", "__n"], "bca_low double, bca_high double", of)
 
 
 def signed_rank(before: np.ndarray, after: np.ndarray) -> dict:
@@ -387,4 +408,4 @@ def normality(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
         w, p = shapiro_wilk(frame[value].dropna().to_numpy())
         return {"w": w, "p": p, "is_normal": p > 0.05}
 
-    return _per_group(df, group, "w double, p double, is_normal boolean", of)
+    return _per_group(df, group, [value], "w double, p double, is_normal boolean", of)

@@ -132,6 +132,44 @@ def test_bca_query_draws_a_thousand_resamples(spark, tmp_path):
     assert got == ends(T.bca(x, ["lang"], "x", resamples=1000)) and got != ends(T.bca(x, ["lang"], "x", resamples=200))
 
 
+def plain_bca(x, resamples, seed=0):
+    """The interval from the whole sample and its jackknife."""
+    x = np.sort(x)
+    rng = np.random.default_rng(seed)
+    means = np.array([rng.choice(x, len(x)).mean() for _ in range(resamples)])
+    z0 = T.normal_quantile(((means < x.mean()).mean() + (means <= x.mean()).mean()) / 2)
+    jack = (x.sum() - x) / (len(x) - 1)
+    d = jack.mean() - jack
+    a = (d**3).sum() / (6 * (d**2).sum() ** 1.5)
+    z = [z0 + T.normal_quantile(p) for p in (0.025, 0.975)]
+    return [np.quantile(means, 0.5 * math.erfc(-(z0 + y / (1 - a * y)) / math.sqrt(2))) for y in z]
+
+
+@pytest.mark.parametrize("limits", [{}, {"block": 7}, {"table": 0}, {"block": 64, "table": 10}])
+def test_bca_of_counts_is_that_of_the_sample(limits):
+    rng = np.random.default_rng(8)
+    for x in (rng.integers(1, 90, 500).astype(float), rng.exponential(3, 41)):
+        assert T.bca_interval(*np.unique(x, return_counts=True), 300, **limits) == pytest.approx(plain_bca(x, 300), rel=1e-12)
+
+
+def test_bca_by_group(spark):
+    rng = np.random.default_rng(9)
+    data = {"a": rng.integers(1, 90, 200).astype(float), "b": rng.normal(0, 1, 30), "same": np.full(3, 0.1), "one": np.array([4.0])}
+    rows = [(g, float(v)) for g, x in data.items() for v in x] + [("a", None), ("a", float("nan")), ("none", None), (None, 2.0), (None, 2.0)]
+    got = {r.g: (r.bca_low, r.bca_high) for r in T.bca(spark.createDataFrame(rows, "g string, v double"), ["g"], "v").collect()}
+    assert got.pop("one") == (4.0, 4.0) and got.pop(None) == (2.0, 2.0) and got.pop("same") == pytest.approx((0.1, 0.1))
+    assert all(v is None or math.isnan(v) for v in got.pop("none"))
+    assert got == {g: pytest.approx(plain_bca(data[g], 1000), rel=1e-12) for g in ("a", "b")}
+
+
+def test_groups_of_a_task_hold_keys_and_values_alone(spark):
+    from reprolith.plans.stat_queries import QUERIES
+
+    plan = lambda name: QUERIES[name][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "text" not in plan("t3_bca") and "HashAggregate" in plan("t3_bca")
+    assert "s_name" not in plan("t19_shapiro")
+
+
 @pytest.mark.parametrize("table", [(747, 1419, 271, 615), (0, 0, 5, 9), (3, 0, 0, 4), (20_000, 70_000, 21_000, 69_500), (15, 2, 16, 1), (900, 100, 100, 900)])
 def test_fisher_of_tables_of_any_size(spark, table):
     a, b, c, d = table
